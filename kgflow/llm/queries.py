@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import consensus, copies, languages, leakage, overlap, sentences, terms
+from . import consensus, copies, languages, leakage, neighbours, overlap, packing, sentences, terms
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,11 @@ def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
     return who
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.most_similar(table(spark, d, "relation_embeddings")).filter("similarity >= 0.8")
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = copies.triple_copies(table(spark, d, "seed_kg_ch2"), table(spark, d, "relation_map"))
     return found.filter("row_id <> kept").select(F.col("kept").alias("kept_row_id"), "row_id")
@@ -71,6 +76,10 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d).select("field_name", "term", "occurrences", "records", "mark")
 
 
+def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, d, "documents")), 2048)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
 
