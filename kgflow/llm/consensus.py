@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, small
+from ..session import BROADCAST_ROWS, materialize
 
 #: The three verdicts.
 VERDICTS = ("maybe", "no", "yes")
@@ -35,15 +35,16 @@ def votes_of(triples: DataFrame, extra: DataFrame) -> DataFrame:
     return out.filter("label IS NOT NULL AND annotator IS NOT NULL")
 
 
-def competence_mixture(votes: DataFrame, labels: tuple[str, ...] = VERDICTS, rounds: int = 40, tolerance: float = 1e-4, smooth: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def competence_mixture(votes: DataFrame, labels: tuple[str, ...] = VERDICTS, rounds: int = 60, tolerance: float = 2e-3, smooth: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Expectation-maximisation over votes(item, annotator, label): (items, annotators).
 
     A label is the item's true label with the annotator's probability `competence`, else a draw from the annotator's own guess
     distribution. items: item, label (posterior mode; of equal ones the first in `labels`), confidence (its posterior),
     agreement (share of the item's vote pairs that agree; 1 for a single vote), n_votes, n_annotators. annotators: annotator,
     competence, n_votes, guess (map label -> probability). The votes are spread by item once, so a round shuffles only one
-    row per annotator, label and task; hot annotators combine on the map side. Annotators are broadcast only after counting
-    them. Votes given twice count twice; an empty table gives two empty tables.
+    row per annotator, label and task; hot annotators combine on the map side. The annotators' parameters are passed on
+    through the driver and broadcast as long as there are at most BROADCAST_ROWS annotators; more of them stay tables that
+    are written and joined. Votes given twice count twice; an empty table gives two empty tables.
     """
     k = len(labels)
     per = votes.groupBy("item", "annotator", "label").agg(F.count("*").alias("n"))
@@ -53,7 +54,13 @@ def competence_mixture(votes: DataFrame, labels: tuple[str, ...] = VERDICTS, rou
     # start: competence 0.7, guesses as the annotator's answers, prior as all answers
     start = per.groupBy("annotator").agg(F.sum("n").alias("n_votes"), *[F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(labels)])
     share = [((F.col(f"c{i}") + smooth) / (F.col("n_votes") + k * smooth)).alias(f"g{i}") for i in range(k)]
-    params = materialize(start.select("annotator", "n_votes", F.lit(0.7).alias("competence"), *share), "annotators")
+    few = per.select("annotator").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def passed_on(df: DataFrame) -> DataFrame:
+        """The parameters cut from their lineage."""
+        return F.broadcast(df.sparkSession.createDataFrame(df.toPandas(), df.schema)) if few else materialize(df, "annotators")
+
+    params = passed_on(start.select("annotator", "n_votes", F.lit(0.7).alias("competence"), *share))
     first = per.agg(*[F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, x in enumerate(labels)]).first()
     total = sum(first) or 1
     prior = [(c + 1) / (total + k) for c in first]
@@ -61,7 +68,7 @@ def competence_mixture(votes: DataFrame, labels: tuple[str, ...] = VERDICTS, rou
 
     def posterior(params: DataFrame, prior: list[float]) -> DataFrame:
         """A row for each item and answer with the item's posterior q0..qk-1."""
-        rows = ballots.select("item", F.explode("ballot").alias("v")).withColumn("annotator", F.col("v.annotator")).join(small(params), "annotator")
+        rows = ballots.select("item", F.explode("ballot").alias("v")).withColumn("annotator", F.col("v.annotator")).join(params, "annotator")
         rows = rows.select("item", "annotator", F.col("v.label").alias("label"), F.col("v.n").alias("n"), F.col("competence").alias("t"), F.coalesce(*shown).alias("g"))
         guess = F.log((1 - F.col("t")) * F.col("g"))
         hit = F.log(F.col("t") + (1 - F.col("t")) * F.col("g"))
@@ -84,17 +91,16 @@ def competence_mixture(votes: DataFrame, labels: tuple[str, ...] = VERDICTS, rou
             *[F.sum(F.col("v.n") * F.col(f"q{i}")).alias(f"p{i}") for i in range(k)],
         )
         spam = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(k)])
-        new = materialize(
-            sums.select(
-                "annotator", "n_votes", ((F.col("true") + smooth) / (F.col("n_votes") + 2 * smooth)).alias("competence"),
+        new = passed_on(
+            sums.join(params.select("annotator", F.col("competence").alias("old")), "annotator").select(
+                "annotator", "n_votes", "old", ((F.col("true") + smooth) / (F.col("n_votes") + 2 * smooth)).alias("competence"),
                 *[((F.col(f"s{i}") + smooth) / (spam + k * smooth)).alias(f"g{i}") for i in range(k)], *[f"p{i}" for i in range(k)],
-            ),
-            "annotators",
+            )
         )
-        moved = new.join(params.select("annotator", F.col("competence").alias("old")), "annotator").agg(
+        moved = new.agg(
             F.max(F.abs(F.col("competence") - F.col("old"))).alias("d"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(k)]
         ).first()
-        params = new.drop(*[f"p{i}" for i in range(k)])
+        params = new.drop("old", *[f"p{i}" for i in range(k)])
         if moved.d is None:
             break
         mass = sum(moved[f"p{i}"] for i in range(k))

@@ -17,7 +17,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Sequences that one task fills: documents are dealt at random to groups of about so many.
 GROUP_SEQUENCES = 500
 #: Rounds of local search over the underfull sequences of a group.
-ROUNDS = 50
+ROUNDS = 200
 PIECE = 500
 
 
@@ -93,7 +93,9 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds:
                 fill[giver] += gone - sizes[i]
                 changed = True
                 break
-        if not changed:
+        if changed:
+            tried.clear()
+        else:
             tried.add(giver)
     return [b for b in bins if b]
 

@@ -38,6 +38,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.most_similar(table(spark, d, "relation_embeddings"), cell=800, visits=6)
+
+
+def p3_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 as a query, by greedy search of the graph of all vectors."""
+    rows = neighbours.valid(table(spark, d, "relation_embeddings"), "id", "embedding", 96)
+    graph = neighbours.neighbour_graph(rows, 6, 0.6)
+    queries = rows.filter("id % 50 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    return neighbours.graph_search(queries, rows, graph, pivots=neighbours.pivots_of(rows, rows.count())).select("query", "id", "rank", (F.col("sim") / neighbours.UNIT).alias("similarity"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = copies.triple_copies(table(spark, d, "seed_kg_ch2"), table(spark, d, "relation_map"))
     return found.filter("row_id <> kept").select(F.col("kept").alias("kept_row_id"), "row_id")
@@ -57,6 +69,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.explode("languages").alias("lang"))
 
 
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_languages(_prose(spark, d))
+
+
 def p5_stretches(spark: SparkSession, d: str) -> DataFrame:
     return languages.language_stretches(_prose(spark, d))
 
@@ -88,4 +104,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_prose(spark, d)).select("doc_id", "start_at")
 
 
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, into how many documents, and the greatest share held."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max("held"), 6).alias("held"))
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(_prose(spark, d))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
