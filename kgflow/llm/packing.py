@@ -17,7 +17,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Sequences that one task fills: documents are dealt at random to groups of about so many.
 GROUP_SEQUENCES = 500
 #: Rounds of local search over the underfull sequences of a group.
-ROUNDS = 200
+ROUNDS = 100
 PIECE = 500
 
 
