@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import arrays as A
 from .functions import text as T
-from .operators import evaluate, graph, ids, index, retrieval, triples, update
+from .operators import evaluate, graph, ids, index, linking, retrieval, triples, update
 from .session import table
 from .sources import io
 from .streaming import incremental
@@ -627,3 +627,123 @@ def page_text_extract(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_size AS size, p_brand AS font, sum(len(list_filter(string_split(p_name, ' '), lambda x: x <> ''))) AS words, arg_min(p_name, p_partkey) AS sample FROM part GROUP BY ALL")
 def font_inventory(s: SparkSession, d: str) -> DataFrame:
     return io.font_inventory(table(s, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("font"), F.col("p_size").alias("size"), F.col("p_name").alias("text")))
+
+
+# --- linking and lookups -----------------------------------------------------------------------------------------------------
+
+
+def _vocabulary(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(relations, names): orders as relations between customers (concepts) and orders (atoms)."""
+    o = table(s, d, "orders")
+    rel = o.select((F.col("o_custkey") % 50).cast("string").alias("CUI1"), F.col("o_orderkey").cast("string").alias("AUI1"), (F.col("o_orderkey") % 60).cast("string").alias("CUI2"), F.lit("none").alias("AUI2"), F.col("o_orderstatus").alias("RELA"), F.col("o_orderpriority").alias("SAB"))
+    c = table(s, d, "customer").filter("c_custkey < 55")
+    names = c.select(F.col("c_custkey").cast("string").alias("CUI"), (F.col("c_custkey") * 3).cast("string").alias("AUI"), F.col("c_name").alias("NAME"))
+    return rel, names
+
+
+_VOC = """r AS (SELECT (o_custkey % 50)::varchar AS c1, o_orderkey::varchar AS a1, (o_orderkey % 60)::varchar AS c2, 'none' AS a2, o_orderstatus AS rela, o_orderpriority AS sab FROM orders),
+n AS (SELECT c_custkey::varchar AS cui, (c_custkey * 3)::varchar AS aui, c_name AS name FROM customer WHERE c_custkey < 55), k AS (SELECT * FROM r WHERE c1 <> c2 AND sab IN ('1-URGENT', '2-HIGH') AND c2 IN (SELECT cui FROM n)),
+t AS (SELECT k.*, coalesce(x.name, y.name) AS name1, z.name AS name2 FROM k LEFT JOIN n x ON x.aui = a1 LEFT JOIN n y ON y.cui = c1 LEFT JOIN n z ON z.cui = c2)"""
+
+
+@query(f"WITH {_VOC} SELECT a1 AS atom, name2 || ' | ' || rela || ' | ' || name1 AS text FROM t WHERE name1 IS NOT NULL AND name2 IS NOT NULL")
+def vocabulary_relations(s: SparkSession, d: str) -> DataFrame:
+    rel, names = _vocabulary(s, d)
+    out = linking.named_relations(linking.vocabulary_relations(rel, names, ["1-URGENT", "2-HIGH"]), names)
+    return out.select(F.col("AUI1").alias("atom"), "text")
+
+
+@query(f"WITH {_VOC} SELECT DISTINCT 'h' || (c2::int % 10) AS head, c1, rela, c2 FROM k")
+def candidate_relations(s: SparkSession, d: str) -> DataFrame:
+    rel, names = _vocabulary(s, d)
+    kept = linking.vocabulary_relations(rel, names, ["1-URGENT", "2-HIGH"])
+    m = names.select(F.concat(F.lit("h"), F.col("CUI").cast("int") % 10).alias("head"), F.col("CUI").alias("cui"))
+    return linking.candidate_relations(m.select("head"), m, kept).select("head", F.col("CUI1").alias("c1"), F.col("RELA").alias("rela"), F.col("CUI2").alias("c2"))
+
+
+@query("SELECT triple_id, relation_id FROM validated_ch3 JOIN relation_map USING (relation_type)")
+def relation_ids(s: SparkSession, d: str) -> DataFrame:
+    return linking.with_relation_ids(table(s, d, "validated_ch3"), table(s, d, "relation_map")).select("triple_id", "relation_id")
+
+
+@query(f"""WITH p AS ({_PAIRS}), o AS (SELECT source, relation_type, min(triple_id) AS o FROM p WHERE relation_type IS NOT NULL GROUP BY ALL) SELECT source AS head, array_to_string(list(relation_type ORDER BY o, relation_type), ',') AS relations FROM o GROUP BY 1""")
+def relations_of_head(s: SparkSession, d: str) -> DataFrame:
+    t = _pairs(s, d).filter("relation_type IS NOT NULL").withColumnRenamed("source", "head")
+    return linking.relations_of_head(t, "triple_id").select("head", F.array_join("relations", ",").alias("relations"))
+
+
+@query(f"SELECT source AS head, target AS tail, array_to_string(list_sort(list(DISTINCT relation_type)), ', ') AS description FROM ({_PAIRS}) WHERE relation_type IS NOT NULL GROUP BY ALL")
+def pair_relations(s: SparkSession, d: str) -> DataFrame:
+    return linking.pair_relations(_pairs(s, d).filter("relation_type IS NOT NULL").select(F.col("source").alias("head"), F.col("target").alias("tail"), "relation_type"))
+
+
+@query("SELECT head, arg_max(tail, row_id) AS tail FROM seed_kg_ch2 WHERE head IS NOT NULL AND tail IS NOT NULL GROUP BY 1")
+def last_writer(s: SparkSession, d: str) -> DataFrame:
+    return linking.last_writer(table(s, d, "seed_kg_ch2").filter("head IS NOT NULL AND tail IS NOT NULL"), "head", "tail", "row_id")
+
+
+@query("""WITH a AS (SELECT DISTINCT head, relation_type, tail FROM validated_ch3 WHERE head IS NOT NULL AND relation_type IS NOT NULL AND tail IS NOT NULL), b AS (SELECT DISTINCT head, relation_type, tail FROM seed_kg_ch2 WHERE head IS NOT NULL AND relation_type IS NOT NULL AND tail IS NOT NULL)
+SELECT 'seed' AS how, count(*) AS n FROM a UNION ALL SELECT 'new', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'combined', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""")
+def scenarios(s: SparkSession, d: str) -> DataFrame:
+    full = "head IS NOT NULL AND relation_type IS NOT NULL AND tail IS NOT NULL"
+    a, b = table(s, d, "validated_ch3").filter(full), table(s, d, "seed_kg_ch2").filter(full)
+    parts = [linking.scenario(a, b, how).agg(F.lit(how).alias("how"), F.count("*").alias("n")) for how in ("seed", "new", "combined")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"SELECT triple_id, source < 'C' AS in_context FROM ({_PAIRS})")
+def in_context_flags(s: SparkSession, d: str) -> DataFrame:
+    p = _pairs(s, d)
+    return linking.members_of(p, p.filter("source < 'C'").select("source"), "source").select("triple_id", "in_context")
+
+
+@query(f"WITH p AS ({_PAIRS}), {_UNDIRECTED}, m AS (SELECT title FROM deg ORDER BY degree DESC, title LIMIT 1), n AS (SELECT CASE WHEN s = m.title THEN t ELSE s END AS title FROM u, m WHERE (s = m.title OR t = m.title) AND s <> t) SELECT title, degree AS rank FROM deg WHERE title IN (SELECT title FROM n) ORDER BY rank DESC, title LIMIT 7")
+def neighbours_by_rank(s: SparkSession, d: str) -> DataFrame:
+    e = graph.degree_undirected(_pairs(s, d)).withColumnRenamed("degree", "rank")
+    hub = e.orderBy(F.desc("rank"), "title").first()
+    return linking.neighbours_by_rank(e, _pairs(s, d), hub.title if hub else "", 7)
+
+
+@query(f"WITH p AS ({_PAIRS}), n AS (SELECT source AS title FROM p UNION SELECT target FROM p) SELECT title, coalesce((SELECT min(triple_id) FROM p WHERE source = title), (SELECT min(triple_id) FROM p WHERE target = title)) AS first_edge FROM n")
+def first_edges(s: SparkSession, d: str) -> DataFrame:
+    p = _pairs(s, d)
+    nodes = p.select(F.col("source").alias("title")).union(p.select("target")).distinct()
+    return linking.first_edges(nodes, p.withColumnRenamed("triple_id", "id"))
+
+
+@query(f"""WITH p AS ({_PAIRS}), {_UNDIRECTED}, x AS (SELECT title, triple_id AS u FROM (SELECT source AS title, triple_id FROM p UNION SELECT target, triple_id FROM p)), c AS (SELECT ascii(title) % 3 AS community, u, sum(degree) AS degree FROM x JOIN deg USING (title) GROUP BY ALL),
+w AS (SELECT *, sum(1 + u % 5) OVER (PARTITION BY community ORDER BY degree DESC, u ROWS UNBOUNDED PRECEDING) AS used FROM c) SELECT community, u AS text_unit_id, degree, used FROM w WHERE used <= 60""")
+def text_unit_context(s: SparkSession, d: str) -> DataFrame:
+    e = graph.noun_nodes(_mentions(s, d)).join(graph.degree_undirected(_pairs(s, d)), "title")
+    m = e.select((F.ascii("title") % 3).alias("community"), "title")
+    units = _pairs(s, d).select(F.col("triple_id").alias("id"), (1 + F.col("triple_id") % 5).alias("n_tokens"))
+    return linking.unit_context(units, m, e, 60)
+
+
+@query("""WITH c AS (SELECT n_regionkey AS community, n_nationkey AS child, 10 + n_nationkey * 7 % 30 AS c, 3 + n_nationkey % 4 AS r FROM nation), o AS (SELECT *, sum(c) OVER (PARTITION BY community) - coalesce(sum(c - r) OVER (PARTITION BY community ORDER BY c DESC, child ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM c)
+SELECT community, child, CASE WHEN f > 60 THEN 'report' ELSE 'context' END AS use FROM o""")
+def mixed_context(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    return linking.mixed_context(table(s, d, "nation").select(F.col("n_regionkey").alias("community"), k.alias("child"), (10 + k * 7 % 30).alias("context_size"), (3 + k % 4).alias("report_size")), 60)
+
+
+@query("SELECT n_name AS title, list_sort([n_regionkey, n_nationkey + 100]) AS communities FROM nation UNION ALL SELECT 'ATLANTIS', []")
+def assigned_communities(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "nation").select(F.col("n_name").alias("title")).unionByName(s.range(1).select(F.lit("ATLANTIS").alias("title")))
+    return linking.assigned_communities(e, _places(s, d), 1)
+
+
+@query("SELECT 'a' AS index_name, n_nationkey AS original, n_nationkey AS community FROM nation UNION ALL SELECT 'b', r_regionkey - 1, CASE WHEN r_regionkey = 0 THEN -1 ELSE r_regionkey + (SELECT max(n_nationkey) FROM nation) END FROM region")
+def multi_index_offsets(s: SparkSession, d: str) -> DataFrame:
+    return linking.offset_indexes({"b": table(s, d, "region").select((F.col("r_regionkey") - 1).alias("community")), "a": table(s, d, "nation").select(F.col("n_nationkey").alias("community"))}, "community")
+
+
+@query("""WITH a AS (SELECT user_id, sum(value) AS v FROM events GROUP BY 1 ORDER BY v DESC, user_id LIMIT 30), b AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 30) SELECT count(*) AS only_first FROM a WHERE user_id NOT IN (SELECT user_id FROM b)""")
+def ranking_overlap(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").groupBy("user_id").agg(F.round(F.sum("value"), 6).alias("v"), F.count("*").alias("n"))
+    return linking.ranking_overlap(e, e, "user_id", [F.desc("v"), "user_id"], [F.desc("n"), "user_id"], 30)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_type) AS types, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, round(quantile_cont(value, 0.4), 6) AS p40, min(value) AS least, max(value) AS most FROM events")
+def score_distribution(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("types"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("deviation"), F.round(F.percentile("value", 0.4), 6).alias("p40"), F.min("value").alias("least"), F.max("value").alias("most"))
