@@ -78,6 +78,12 @@ def passage(item: list, doc: list, seeds: list[tuple[int, int]]) -> int:
     return best if 2 * best >= n else 0
 
 
+def seeds_sure(n: int, k: int, window: int) -> int:
+    """Fewest common fingerprints of a passage of at least half of n units with an eighth edited: of d + 1 runs each of r units gives (r - k - window + 2) / window."""
+    least = min((-(-(x - x // 8 - (k + window - 2) * (x // 8 + 1)) // window) for x in range(-(-n // 2), n + 1)), default=1)
+    return max(1, least)
+
+
 class Index:
     """Fingerprints of a bounded set of items, sorted for searching."""
 
@@ -98,6 +104,7 @@ class Index:
         # half an item lies in so many units of a text (an eighth may be added), and an edit spoils two of its pairs of neighbours
         self.span = [-(-len(c) * 9 // 16) + 2 for c in self.coded]
         self.need = [max(1, int(0.375 * len(c)) - 3) for c in self.coded]
+        self.sure = np.array([seeds_sure(len(c), self.k, self.window) for c in self.coded] or [1])
         self.short = [i for i, c in enumerate(self.coded) if 0 < len(c) < 2 * (self.k + self.window - 1)]
 
     def search(self, texts: list[str]) -> list[tuple[int, int, float]]:
@@ -117,8 +124,10 @@ class Index:
         order = np.lexsort((iplace, item, text))
         text, item, dplace, iplace = text[order], item[order], dplace[order], iplace[order]
         cuts = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])) if len(text) else np.zeros(0, int)
+        ends = np.concatenate([cuts[1:], [len(text)]]) if len(text) else cuts
+        enough = ends - cuts >= self.sure[item[cuts]]
         out, pairs, last, lists = [], set(), -1, None
-        for s, e in zip(cuts, [*cuts[1:], len(text)]):
+        for s, e in zip(cuts[enough], ends[enough]):
             t, i = int(text[s]), int(item[s])
             if t != last:
                 last, lists = t, coded[t].tolist()
