@@ -580,13 +580,13 @@ def community_offset_merge(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_window_counts(s: SparkSession, d: str) -> DataFrame:
-    return incremental.window_counts(table(s, d, "events"), "1 hour").withColumn("total", F.round("total", 4))
+    return incremental.window_counts(table(s, d, "events"), "1 hour").withColumns({"total": F.round("total", 4), "start": F.col("start").cast("timestamp")})
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
 def user_sessions(s: SparkSession, d: str) -> DataFrame:
-    return incremental.sessions(table(s, d, "events"), "30 minutes")
+    return incremental.sessions(table(s, d, "events"), "30 minutes").withColumns({c: F.col(c).cast("timestamp") for c in ("start", "end")})
 
 
 @query("""SELECT upper(head) AS title, count(*) AS records, list_sort(list(DISTINCT triple_id)) AS text_unit_ids FROM validated_ch3 WHERE head IS NOT NULL AND tail IS NOT NULL AND relation_type IS NOT NULL AND trim(head) <> '' AND NOT regexp_matches(head || tail || relation_type, '["<>()#&]') AND NOT regexp_matches(head || tail || relation_type, '^\\s|\\s$') GROUP BY 1""")
@@ -747,3 +747,35 @@ def ranking_overlap(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS n, count(DISTINCT event_type) AS types, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, round(quantile_cont(value, 0.4), 6) AS p40, min(value) AS least, max(value) AS most FROM events")
 def score_distribution(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("types"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("deviation"), F.round(F.percentile("value", 0.4), 6).alias("p40"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+# --- one form for both sides: arrays as text, whole numbers of one width ------------------------------------------------------
+
+_LISTS = {
+    "kg_expansion_scores": ["tokens"], "answer_parsers": ["items", "lines"], "noun_graph_nodes": ["text_unit_ids"], "community_tables": ["entity_ids", "relationship_ids"],
+    "conversation_qa_turns": ["answers"], "entity_upsert": ["text_unit_ids"], "extraction_record_parse": ["text_unit_ids"], "final_text_units": ["entity_ids"],
+    "final_documents": ["text_unit_ids"], "page_text_extract": ["paragraphs"], "assigned_communities": ["communities"],
+}
+_WHOLE = {
+    "relation_by_split_cube": "margin", "fuzzy_bridge_topk": "rank", "head_variants_raw": "n", "leaf_scatter": "slot", "token_chunks_overlap": "chunk_no start n_tokens", "word_windows": "chunk_no n_tokens",
+    "chain_graph_paths": "source title hops", "community_hierarchy_subset": "level community sub_community sub_size", "community_tables": "community size", "community_weights": "community",
+    "dynamic_community_selection": "community level", "mean_vectors": "dim", "batch_vector_search": "rank", "token_budget_context": "n used", "global_key_points": "used", "conversation_qa_turns": "qa_turn",
+    "font_inventory": "words size", "text_unit_context": "degree used", "multi_index_offsets": "original community", "community_offset_merge": "community parent",
+}
+
+
+def _plain(name: str, lists: list[str], whole: list[str]) -> None:
+    inner = QUERIES[name]
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        text = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in lists}
+        return inner(s, d).withColumns(text | {c: F.col(c).cast("long") for c in whole})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    swap = [f"array_to_string({c}::VARCHAR[], ',') AS {c}" for c in lists] + [f"{c}::BIGINT AS {c}" for c in whole]
+    ORACLE[name] = f"SELECT * REPLACE ({', '.join(swap)}) FROM ({ORACLE[name]})"
+
+
+for _name in sorted({*_LISTS, *_WHOLE}):
+    _plain(_name, _LISTS.get(_name, []), _WHOLE.get(_name, "").split())
