@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import small
+from ..session import materialize, small
 
 # Tails that say nothing after is_a.
 TRIVIAL_TAILS = ("concept", "metric", "service", "attack", "protocol", "algorithm", "pdu", "channel", "checksum", "delay", "packet", "shared medium")
@@ -121,9 +121,10 @@ def select_seed_triples(df: DataFrame, threshold: float, least: int, head_id: st
     kept = above(df.filter("tail IS NOT NULL"), "score", threshold).withColumn("relation_type", T.relation_name(F.col("relation_type")))
     if undesired:
         kept = without_relations(kept, undesired)
-    kept = top_triples(kept, ["head", "relation_type", "tail"], [F.desc("score"), *[F.asc(c) for c in tie]])
+    # read three times from here on, so written once
+    kept = materialize(top_triples(kept, ["head", "relation_type", "tail"], [F.desc("score"), *[F.asc(c) for c in tie]]), "triples")
     kept = score_then_diversity(frequent_relations(kept, least), head_id, tie)
-    return frequent_relations(kept, least) if again else kept
+    return frequent_relations(materialize(kept, "selected"), least) if again else kept
 
 
 def agreed(df: DataFrame, first: str, second: str, how: str = "both") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow lookup table counts as small enough to broadcast.
 BROADCAST_ROWS = 50_000
+_WRITTEN: list[str] = []
 
 
 def build_session(name: str = "kgflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,6 +40,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/kgflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,8 +51,17 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows (counted), else df unchanged, for a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, computed once and written, with a broadcast hint if it has at most `rows` rows, without one (a shuffle join) beyond."""
+    written = materialize(df, "small")
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables this session has written into the shared folder; results that still read them must be saved before."""
+    for path in _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
