@@ -246,7 +246,7 @@ def judge(texts: list[str], model: Model) -> list[list[tuple[int, int, str, floa
 
 def train(df: DataFrame, id_col: str, docs: int) -> Model:
     """Fit the models on about `docs` documents a language, by the codes their labels name."""
-    code = F.udf(code_of)  # over the few distinct labels only
+    code = F.udf(code_of, "string")  # over the few distinct labels only
     labels = df.groupBy("lang").count().withColumn("code", code("lang")).filter(F.col("code").isin(*LANGUAGES)).limit(10_000).collect()
     total: dict[str, int] = {}
     for r in labels:
@@ -293,7 +293,7 @@ def document_languages(df: DataFrame, id_col: str = "doc_id", fit_docs: int = FI
 
     is_case: the label is missing or says nothing, names another language than the only one found, or several were found.
     """
-    named = F.udf(code_of)
+    named = F.udf(code_of, "string")
     doc = language_stretches(df, id_col, fit_docs).groupBy(id_col, "lang").agg(F.sum("letters").alias("n"), F.sum(F.col("letters") * F.col("confidence")).alias("c"))
     doc = doc.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "lang"))), lambda x: x["lang"]).alias("languages"),

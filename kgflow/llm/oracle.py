@@ -27,7 +27,17 @@ def _terms(name: str, table: str, id_col: str, col: str) -> str:
 
 _P6 = _terms("seed_kg_ch2.relation_type", "seed_kg_ch2", "row_id", "relation_type") + "\nUNION ALL\n" + _terms("injections_ch5.tail", "injections_ch5", "id", "tail")
 
+# all pairs, so for small tables; the operator is approximate on large ones
+_P3 = """
+WITH v AS (SELECT id, embedding::double[] AS v FROM relation_embeddings WHERE id IS NOT NULL AND len(embedding) = 96
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.id <> b.id),
+r AS (SELECT id, neighbour, similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS rank FROM s QUALIFY rank <= 5)
+"""
+
 ORACLE = {
+    "p3_found": _P3 + "SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM r WHERE similarity >= 0.8",
+    "p3_neighbours": _P3 + "SELECT id, neighbour, rank, similarity FROM r",
     "p4_found": _P4 + "SELECT kept AS kept_row_id, row_id FROM g WHERE row_id <> kept",
     "p4_records": _P4 + "SELECT row_id, n_copies FROM g WHERE row_id = kept",
     "p6_found": f"SELECT field_name, term, mark FROM ({_P6}) WHERE mark IS NOT NULL",

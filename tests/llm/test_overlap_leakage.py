@@ -137,3 +137,21 @@ def test_items_in_blocks_give_the_same(spark, leak_case, monkeypatch):
     monkeypatch.setattr(leakage, "ITEMS_A_PASS", 5)
     i = spark.createDataFrame([(a, " ".join(t)) for a, t in items], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), i).collect()} == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(11)
+    long = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    near = edited(rng, long, 900)
+    got, _ = chunk_pairs(spark, [(1, " ".join(long), "train", "s"), (2, " ".join(near), "test", "s"), (3, " ".join(near[:9000]), "test", "s")])
+    assert got == {(1, 2)}
+    item = [f"q{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(long + item[:30] + long)), (2, " ".join(long + item[:15] + long))], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()} == {(1, 7)}
+
+
+def test_many_records_share_a_passage_but_are_no_overlap(spark):
+    rng = random.Random(12)
+    notice = [f"notice{i}" for i in range(25)]
+    rows = [(i, " ".join([f"a{rng.randrange(10**6)}" for _ in range(40)] + notice + [f"b{rng.randrange(10**6)}" for _ in range(20)]), "train" if i % 4 else "test", "s") for i in range(600)]
+    assert chunk_pairs(spark, rows)[0] == set()
