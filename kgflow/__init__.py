@@ -1,3 +1,10 @@
 """kgflow: knowledge-graph building, curation and retrieval as Spark DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions sent to executors carry their code along, so the package needn't be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
