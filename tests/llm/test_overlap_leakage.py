@@ -155,3 +155,27 @@ def test_many_records_share_a_passage_but_are_no_overlap(spark):
     notice = [f"notice{i}" for i in range(25)]
     rows = [(i, " ".join([f"a{rng.randrange(10**6)}" for _ in range(40)] + notice + [f"b{rng.randrange(10**6)}" for _ in range(20)]), "train" if i % 4 else "test", "s") for i in range(600)]
     assert chunk_pairs(spark, rows)[0] == set()
+
+
+def near_by_hand(rows):
+    split = [(i, t.split(), s) for i, t, s, _ in rows]
+    return {
+        (min(a, b), max(a, b)) for a, x, s in split if s == "train" for b, y, t in split
+        if t != "train" and 5 * overlap.distance(x, y, max(len(x), len(y)) // 5) <= max(len(x), len(y)) // 5 * 5
+    }
+
+
+def test_variants_of_one_text_with_hot_passages_are_all_found(spark):
+    rng = random.Random(21)
+    base = [f"common{i}" for i in range(60)]
+    variant = lambda share: [f"new{rng.random()}".replace(".", "") if i in at else w for at in [set(rng.sample(range(60), int(60 * share)))] for i, w in enumerate(base)]
+    rows = [(0, " ".join(base), "test", "s")] + [(i, " ".join(variant(rng.choice([0.1, 0.15, 0.2]))), "train", "s") for i in range(1, 51)]
+    rows += [(100 + i, " ".join(variant(0.05)), "validation", "s") for i in range(30)]
+    want = near_by_hand(rows)
+    assert {(0, i) for i in range(1, 51)} <= want and len(want) > 200
+    assert chunk_pairs(spark, rows)[0] == want
+
+
+def test_groups_of_a_hot_gram_are_spread_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "GROUP", 7)
+    test_variants_of_one_text_with_hot_passages_are_all_found(spark)
