@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -179,3 +180,35 @@ def test_variants_of_one_text_with_hot_passages_are_all_found(spark):
 def test_groups_of_a_hot_gram_are_spread_without_loss(spark, monkeypatch):
     monkeypatch.setattr(overlap, "GROUP", 7)
     test_variants_of_one_text_with_hot_passages_are_all_found(spark)
+
+
+def test_short_and_evenly_edited_pairs_are_all_found(spark):
+    rng = random.Random(22)
+    rows = []
+    for n in [*range(1, 31), 37, 45, 60, 64, 65, 79, 80, 130, 200]:
+        base = [f"n{n}w{i}" for i in range(n)]
+        d = n // 5
+        replaced = [f"r{rng.randrange(10**9)}" if i % 5 == 2 and i // 5 < d else w for i, w in enumerate(base)]
+        fewer = [w for i, w in enumerate(base) if not (i % 5 == 4 and i // 5 < d)]
+        more = [x for i, w in enumerate(base) for x in ([w, f"a{rng.randrange(10**9)}"] if i % 4 == 1 and i // 4 < n // 4 else [w])]
+        at = set(rng.sample(range(n), d))
+        anywhere = [f"q{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(base)]
+        for t in (base, replaced, fewer, more, anywhere):
+            rows += [(2 * len(rows), " ".join(t), "train", "s"), (2 * len(rows) + 1, " ".join(t), "test", "s")]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    want = near_by_hand(rows)
+    assert len(want) > 300
+    assert chunk_pairs(spark, rows)[0] == want
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_chosen_grams_share_no_word_and_cost_least(k):
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(4 if k == 2 else 12, 12 if k == 2 else 17, 60)
+    cost = rng.integers(1, 50, (60, overlap.BLOCK)).astype(np.float32)
+    row, place = overlap.choose(cost, sizes, k)
+    for r, n in enumerate(sizes):
+        got = sorted(place[row == r])
+        assert len(got) == n // 4 + 1 and got[-1] + k <= n and all(b - a >= k for a, b in zip(got, got[1:]))
+        every = [c for c in combinations(range(n - k + 1), n // 4 + 1) if all(b - a >= k for a, b in zip(c, c[1:]))]
+        assert cost[r, got].sum() == min(cost[r, list(c)].sum() for c in every)
