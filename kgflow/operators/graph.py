@@ -87,25 +87,33 @@ def prune(nodes: DataFrame, edges: DataFrame, min_frequency: int = 1, min_degree
     return d, e
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """title, component (its least title) for every end of an edge.
 
-    Alternates neighbour minimum and pointer jumping until nothing changes; a round's table is written, so lineage stays short and a
-    lost executor costs one round. Messages combine on the map side, so hubs need no special care.
+    Contracts the graph until no edge is left: each node goes to the least of itself and its neighbours, by title in the first
+    round (a star around its least title ends there) and by a hash that changes every round afterwards, so the expected number of nodes falls
+    by a constant factor a round whatever the shape. The rounds' tables, ever smaller, are then joined backwards. Every table is
+    written, so lineage stays short and a lost executor costs one round. Messages combine on the map side, so hubs need no
+    special care. Raises if `rounds` aren't enough.
     """
     e = canonical_edges(edges)
-    both = materialize(e.unionAll(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "edges")
-    labels = materialize(both.select(F.col("source").alias("title"), F.col("source").alias("component")).distinct(), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("title").alias("target"), "component"), "target").groupBy(F.col("source").alias("title")).agg(F.min("component").alias("c"))
-        step = labels.join(near, "title", "left").select("title", F.least("component", "c").alias("component"))
-        jump = labels.select(F.col("title").alias("component"), F.col("component").alias("far"))
-        new = materialize(step.join(jump, "component", "left").select("title", F.least("component", "far").alias("component")), "labels")
-        moved = new.join(labels.withColumnRenamed("component", "old"), "title").filter("component <> old").limit(1).count()
-        labels = new
-        if not moved:
-            break
-    return labels
+    titles = e.select(F.col("source").alias("title")).union(e.select("target")).distinct()
+    left, steps = materialize(e.filter("source < target"), "edges"), []
+    while not left.isEmpty():
+        if len(steps) == rounds:
+            raise RuntimeError(f"components aren't complete after {rounds} rounds")
+        order = lambda c: F.struct((F.xxhash64(F.lit(len(steps)), c) if steps else F.col(c)).alias("o"), F.col(c).alias("to"))
+        both = left.union(left.select("target", "source"))
+        near = both.groupBy(F.col("source").alias("title")).agg(F.min(order("target")).alias("m"))
+        steps.append(materialize(near.select("title", F.least("m", order("title"))["to"].alias("component")), "step"))
+        ends = [steps[-1].select(F.col("title").alias(c), F.col("component").alias(f"_{c}")) for c in ("source", "target")]
+        left = materialize(canonical_edges(left.join(ends[0], "source").join(ends[1], "target"), "_source", "_target").filter("source < target"), "edges")
+    found = titles.withColumn("component", F.col("title")).limit(0) if not steps else steps.pop()
+    while steps:
+        last = found.select(F.col("title").alias("component"), F.col("component").alias("_far"))
+        found = materialize(steps.pop().join(last, "component", "left").select("title", F.coalesce("_far", "component").alias("component")), "step")
+    found = materialize(titles.join(found, "title", "left").select("title", F.coalesce("component", "title").alias("_c")), "labels")
+    return found.join(found.groupBy("_c").agg(F.min("title").alias("component")), "_c").select("title", "component")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,17 @@ def test_graph_shapes(spark):
     assert {r.component for r in graph.components(chain).collect()} == {"n000"}
 
 
+def test_components_of_long_paths_with_shuffled_names(spark):
+    names = [f"n{i:04d}" for i in range(1200)]
+    random.Random(4).shuffle(names)
+    e = spark.createDataFrame([(a, b) for i, (a, b) in enumerate(zip(names, names[1:])) if i != 999] + [("z", "z")], "source string, target string")
+    got = {r.title: r.component for r in graph.components(e).collect()}
+    assert got == {t: min(names[:1000]) for t in names[:1000]} | {t: min(names[1000:]) for t in names[1000:]} | {"z": "z"}
+    assert {r.title for r in graph.largest_component(e).collect()} == {t.upper() for t in names[:1000]}
+    with pytest.raises(RuntimeError):
+        graph.components(e, rounds=2)
+
+
 def test_numbers_are_consecutive_and_split_is_ordered(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7)
     assert [r.n for r in ids.numbered(df, ["k"], "n", 1).orderBy("k").collect()] == list(range(1, 1001))
