@@ -14,7 +14,7 @@ from ..session import materialize, spread
 
 #: Vectors a cell holds on average, pivots at most (1.5 MB of 96 floats), and sampled vectors a pivot that shape the cells (at most SAMPLE).
 CELL, MOST_PIVOTS, PER_PIVOT, SAMPLE = 200, 4_096, 12, 50_000
-#: Cells each vector visits for its first neighbours; cells expected to exceed LARGE vectors are divided by hash.
+#: Cells each vector visits for its first neighbours; cells of more than LARGE vectors are compared in blocks of about as many.
 VISITS, LARGE = 3, 20_000
 #: Graph rows that one task merges, about.
 TASK_ROWS = 100_000
@@ -95,12 +95,15 @@ def _graph_batch(src: np.ndarray, own: np.ndarray, d: np.ndarray, s: np.ndarray,
 
 
 def first_graph(rows: DataFrame, pivots: np.ndarray, count: int, k: int, visits: int) -> DataFrame:
-    """Each vector's k most similar ones within the cells it visits; one row per vector and cell. Copies of a vector are one, under their least id."""
+    """Each vector's k most similar ones within the cells it visits. Copies of a vector are one, under their least id.
+
+    One row per vector and cell, or per vector and block of a large cell: such a cell is divided into parts by hash and every two
+    parts are a block, so all pairs of a cell are compared whatever its size.
+    """
     visits = min(visits, len(pivots))
-    salts = max(1, round(visits * count / max(1, len(pivots)) / LARGE))
     sent = rows.sparkSession.sparkContext.broadcast(pivots)
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         seen: dict[bytes, int] = {}  # copies of one vector leave a task once, unless a smaller id comes later
         for b in batches:
             x, ids = np.ascontiguousarray(matrix(b["v"]), dtype=np.float32), b["id"].to_numpy()
@@ -121,12 +124,38 @@ def first_graph(rows: DataFrame, pivots: np.ndarray, count: int, k: int, visits:
                 z = u[a : a + 2048] @ sent.value.T
                 near.append(np.argpartition(-z, visits - 1, axis=1)[:, :visits])
             cells = np.concatenate(near).astype(np.int32)
-            part = np.array([crc32(r.tobytes()) % salts for r in x], dtype=np.int32) if salts > 1 else np.zeros(len(x), np.int32)
-            own = np.repeat(cells, visits, axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells.ravel()), pa.array(np.repeat(part, visits)), pa.array(np.repeat(ids, visits)), lists(own), pa.array([r.tobytes() for r in np.repeat(x, visits, axis=0)], pa.binary())],
-                names=["cell", "part", "id", "own", "v"],
-            )
+            yield ids, x, cells
+
+    def only_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, cells in visited(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel())], names=["cell"])
+
+    split = np.ones(max(1, len(pivots)), np.int64)  # parts of each cell, two of which make a block
+    if count > LARGE:
+        share = min(1.0, SAMPLE / count)
+        some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+        load = some.mapInArrow(only_cells, "cell int").groupBy("cell").agg(F.count("*").alias("n")).toPandas()
+        held = load["n"].to_numpy(dtype=float) / share
+        split[load["cell"].to_numpy(dtype=int)] = np.where(held > LARGE, np.ceil(2 * held / LARGE), 1)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x, cells in visited(batches):
+            parts = split[cells.ravel()]
+            of = np.repeat(np.arange(len(x)), visits)
+            crc = np.array([crc32(r.tobytes()) for r in x], dtype=np.int64)[of] if parts.max() > 1 else np.zeros(len(of), np.int64)
+            # a vector goes to the blocks of its part with every other part
+            blocks = np.maximum(parts - 1, 1)
+            at = np.repeat(np.arange(len(of)), blocks)
+            mine, every = (crc % parts)[at], parts[at]
+            other = (mine + 1 + np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) % every
+            block = np.minimum(mine, other) * every + np.maximum(mine, other)
+            # few rows at a time, as a vector of large cells leaves in many blocks
+            for a in range(0, len(at), 32_768):
+                one = at[a : a + 32_768]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells.ravel()[one]), pa.array(block[a : a + 32_768]), pa.array(ids[of[one]]), lists(cells[of[one]]), pa.array([r.tobytes() for r in x[of[one]]], pa.binary())],
+                    names=["cell", "block", "id", "own", "v"],
+                )
 
     def compare(t: pa.Table) -> pa.Table:
         ids, own = t["id"].to_numpy(), matrix(t["own"])
@@ -157,8 +186,8 @@ def first_graph(rows: DataFrame, pivots: np.ndarray, count: int, k: int, visits:
         none = np.full((n, k), -1)
         return pa.Table.from_batches([_graph_batch(ids, own, none.astype(np.int64), none.astype(np.int32), np.full((n, k * own.shape[1]), -1, np.int32))])
 
-    cells = spread(rows, 1).mapInArrow(visit, "cell int, part int, id long, own array<int>, v binary")
-    return cells.groupBy("cell", "part").applyInArrow(compare, _GRAPH)
+    cells = spread(rows, 1).mapInArrow(visit, "cell int, block long, id long, own array<int>, v binary")
+    return cells.groupBy("cell", "block").applyInArrow(compare, _GRAPH)
 
 
 def parts_for(spark: SparkSession, rows: int) -> int:

@@ -85,3 +85,22 @@ def test_few_or_no_vectors(spark):
     assert found(spark, []) == {} and found(spark, BAD) == {}
     assert found(spark, [(1, [1.0] * 16)]) == {}
     assert found(spark, [(1, [1.0] * 16), (2, [2.0] * 16)]) == {1: [(2, 1.0)], 2: [(1, 1.0)]}
+
+
+def test_large_cells_are_compared_whole(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 96)).astype(np.float32)
+    x[450:] = x[:450] + 0.3 * rng.normal(size=(450, 96)).astype(np.float32)
+    x[100:110] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    rows = neighbours.valid(df, "id", "embedding", 96)
+    pivots = neighbours.pivots_of(rows, 900, 300)
+
+    def edges():
+        graph = neighbours.merge(neighbours.first_graph(rows, pivots, 900, 6, 2), 6, 4)
+        return {(r.src, d, s) for r in graph.collect() for d, s in zip(r.dst, r.sim) if d >= 0}
+
+    whole = edges()
+    for large in (100, 250):
+        monkeypatch.setattr(neighbours, "LARGE", large)
+        assert edges() == whole
