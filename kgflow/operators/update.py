@@ -38,12 +38,15 @@ def upsert_relationships(old: DataFrame, delta: DataFrame) -> DataFrame:
     return degree_of_update(merged)
 
 
-def append_communities(old: DataFrame, delta: DataFrame) -> DataFrame:
-    """Delta communities renumbered past the greatest old one, their parents too; -1 stays -1."""
+def moved_communities(old: DataFrame, delta: DataFrame) -> DataFrame:
+    """Delta rows with communities renumbered past the greatest old one, their parents too; -1 stays -1."""
     top = old.agg(F.coalesce(F.max("community"), F.lit(-1)).alias("_m"))
     shift = lambda c: F.when(F.col(c) == -1, -1).otherwise(F.col(c) + F.col("_m") + 1)
-    moved = delta.crossJoin(F.broadcast(top)).withColumns({"community": shift("community"), "parent": shift("parent")}).drop("_m")
-    return old.unionByName(moved)
+    return delta.crossJoin(F.broadcast(top)).withColumns({"community": shift("community"), "parent": shift("parent")}).drop("_m")
+
+
+def append_communities(old: DataFrame, delta: DataFrame) -> DataFrame:
+    return old.unionByName(moved_communities(old, delta))
 
 
 def remap_ids(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, index, retrieval, update
+from ..operators.ids import numbered
 from ..session import materialize
 
 Tables = dict[str, DataFrame]
@@ -64,17 +65,72 @@ def build_index(docs: DataFrame, steps: list[str] | None = None, **options) -> T
     return t
 
 
+def _shape(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and descriptions as a list whether df has a list, one description or none."""
+    said = F.col("descriptions") if "descriptions" in df.columns else F.array("description") if "description" in df.columns else F.array()
+    return df.select(*columns, F.coalesce(said.cast("array<string>"), F.array().cast("array<string>")).alias("descriptions"))
+
+
+def _numbered_on(merged: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
+    """merged with the old human_readable_id of every old key, and numbers past the greatest for new keys."""
+    known = merged.join(old.select(*key, "human_readable_id"), key)
+    return update.append_renumbered(known, numbered(merged.join(old.select(*key), key, "left_anti"), key, "human_readable_id"))
+
+
+def _merged_entities(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    cols = ("id", "title", "type", "text_unit_ids")
+    merged, mapping = update.upsert_entities(_shape(old, *cols), _shape(new, *cols))
+    place = old.select("title", "x", "y").unionByName(new.select("title", "x", "y").join(old.select("title"), "title", "left_anti"))
+    merged = merged.join(place, "title").withColumn("frequency", F.size("text_unit_ids").cast("long"))
+    return materialize(_numbered_on(merged, old, ["title"]), "entities"), materialize(mapping, "mapping")
+
+
+def _merged_relationships(old: DataFrame, new: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(relationships, mapping of their ids, entities with degrees), degrees and pmi over the merged graph."""
+    cols = ("id", "source", "target", F.col("weight").cast("double").alias("weight"))
+    key = ["source", "target"]
+    merged = update.upsert_relationships(_shape(old, *cols), _shape(new, *cols))
+    rows = old.select(*key, "text_unit_ids").unionByName(new.select(*key, "text_unit_ids"))
+    of = rows.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("text_unit_ids")))).alias("text_unit_ids"))
+    merged = materialize(_numbered_on(merged.join(of, key), old, key), "relationships")
+    entities = materialize(entities.join(graph.degree_undirected(merged), "title", "left").fillna({"degree": 0}), "entities")
+    both = F.size("text_unit_ids")
+    totals = merged.agg(F.sum(both).alias("_w")).crossJoin(entities.agg(F.sum("frequency").alias("_f")))
+    ends = [entities.select(F.col("title").alias(c), F.col("frequency").alias(f"_{c}")) for c in key]
+    out = graph.combined_degree(merged.drop("combined_degree"), entities).join(ends[0], "source", "left").join(ends[1], "target", "left").crossJoin(F.broadcast(totals))
+    out = out.withColumn("pmi", F.log2((both / F.col("_w")) / ((F.col("_source") / F.col("_f")) * (F.col("_target") / F.col("_f"))))).drop("_source", "_target", "_w", "_f")
+    mapping = new.select(*key, F.col("id").alias("delta_id")).join(old.select(*key, F.col("id").alias("old_id")), key).select("delta_id", "old_id")
+    return materialize(out, "relationships"), materialize(mapping, "mapping"), entities
+
+
 def update_index(old: Tables, docs: DataFrame, **options) -> Tables:
-    """Indexes only documents whose id is new and merges the result into the old tables."""
+    """Indexes only documents whose id is new and merges every table of the result into the old ones, so that they can be searched and updated again.
+
+    Entities and relationships of one key merge under the old id and number, with the descriptions and text units of both; degrees,
+    frequencies and pmi are those of the merged graph (weights are means, as in upsert_relationships). Text units, documents,
+    communities, their members and reports are appended, numbered on, with ids of merged rows replaced by the old ones.
+    """
     new, _ = update.delta_documents(docs, old["documents"], "id")
+    new = materialize(new, "documents")
     d = build_index(new, **options)
-    shape = lambda e: e.select("id", "title", "type", F.array().cast("array<string>").alias("descriptions"), "text_unit_ids")
-    ents, mapping = update.upsert_entities(shape(old["entities"]), shape(d["entities"]))
-    rel = lambda r: r.select("id", "source", "target", F.array().cast("array<string>").alias("descriptions"), F.col("weight").cast("double").alias("weight"))
+    entities, mapping = _merged_entities(old["entities"], d["entities"])
+    relationships, rel_mapping, entities = _merged_relationships(old["relationships"], d["relationships"], entities)
+    remapped = lambda df: update.remap_ids(update.remap_ids(df, "entity_ids", mapping), "relationship_ids", rel_mapping)
+    from_0 = lambda df: df.withColumn("human_readable_id", F.col("human_readable_id") - 1)
+
+    def appended(name: str, delta: DataFrame) -> DataFrame:
+        """Communities numbered on; titles and ids follow the numbers."""
+        moved = update.moved_communities(old["communities"], delta)
+        if "id" in moved.columns:
+            moved = moved.withColumns({"title": F.concat(F.lit("Community "), F.col("community").cast("string")), "id": T.hash_id(F.lit("community"), F.col("level"), F.col("community"))})
+        return materialize(old[name].unionByName(moved.select(*old[name].columns)), name)
+
     return {
-        "documents": old["documents"].unionByName(new), "entities": ents, "relationships": update.upsert_relationships(rel(old["relationships"]), rel(d["relationships"])),
-        "text_units": old["text_units"].unionByName(d["text_units"]), "mapping": mapping,
-        "communities": update.append_communities(old["communities"], d["communities"].select(*old["communities"].columns)),
+        "documents": old["documents"].unionByName(new), "final_documents": materialize(update.append_renumbered(old["final_documents"], from_0(d["final_documents"])), "documents"),
+        "entities": entities, "relationships": relationships, "mapping": mapping,
+        "text_units": old["text_units"].unionByName(d["text_units"]),
+        "final_text_units": materialize(update.append_renumbered(old["final_text_units"], from_0(remapped(d["final_text_units"]))), "units"),
+        "members": appended("members", d["members"]), "communities": appended("communities", remapped(d["communities"])), "community_reports": appended("community_reports", d["community_reports"]),
     }
 
 

@@ -173,3 +173,31 @@ def test_index_is_built_searched_and_updated(spark):
     new = workflows.update_index(t, docs.unionByName(spark.createDataFrame([("d10", "Omega Core calls Alpha Router.")], "id string, text string")), size=40, overlap=10, max_size=3)
     assert new["documents"].count() == 8 and new["entities"].filter("title LIKE '%OMEGA%'").count() == 1
     assert index.summarize_descriptions is not None
+
+
+def test_an_updated_index_is_whole_and_can_be_searched(spark):
+    text = "The Alpha Router sends frames to the Beta Switch. The Beta Switch and the Gamma Host share a Delta Link. "
+    first = spark.createDataFrame([(f"d{i}", text + f"Node{i % 3} Hub waits for Alpha Router.") for i in range(4)], "id string, text string")
+    docs = first.unionByName(spark.createDataFrame([("d10", "Omega Core calls Alpha Router. The Beta Switch and the Gamma Host share a Delta Link.")], "id string, text string"))
+    options = {"size": 40, "overlap": 10, "max_size": 3}
+    old, whole = workflows.build_index(first, **options), workflows.build_index(docs, **options)
+    old["entities"] = old["entities"].withColumn("description", F.concat(F.lit("about "), "title"))
+    new = workflows.update_index(old, docs, **options)
+    assert set(whole) <= set(new)
+    rows = lambda t, name, *c: sorted(tuple(tuple(sorted(x)) if isinstance(x, list) else round(x, 9) if isinstance(x, float) else x for x in r) for r in t[name].select(*c).collect())
+    for name, columns in (("entities", ("title", "id", "type", "text_unit_ids", "frequency", "degree")), ("relationships", ("source", "target", "id", "text_unit_ids", "combined_degree", "pmi")), ("text_units", ("id", "n_tokens")), ("final_documents", ("id", "text_unit_ids")), ("final_text_units", ("id", "entity_ids", "relationship_ids"))):
+        assert rows(new, name, *columns) == rows(whole, name, *columns), name
+        if name != "text_units":
+            numbers = sorted(r[0] for r in new[name].select("human_readable_id").collect())
+            assert numbers == list(range(numbers[0], numbers[0] + len(numbers)))
+    assert new["entities"].filter("title LIKE '%ALPHA%' AND NOT array_contains(descriptions, concat('about ', title))").count() == 0
+    for name in ("communities", "community_reports"):
+        assert new[name].select("community").distinct().count() == new[name].select("id").distinct().count() == new[name].count() > old[name].count()
+    assert new["members"].join(new["communities"], ["level", "community", "parent"]).count() == new["members"].count()
+    vectors = new["entities"].select("id", F.when(F.col("title").contains("OMEGA"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("embedding"))
+    found = workflows.local_search(new, [1.0, 0.0], vectors, k=1)
+    assert all(df.count() for df in found.values())
+    points = workflows.global_search(new, lambda text: F.to_json(F.struct(F.array(F.struct(text.alias("description"), F.lit(1.0).alias("score"))).alias("points"))), budget=10_000)
+    assert any("OMEGA" in str(r) for r in points.collect())
+    again = workflows.update_index(new, docs.unionByName(spark.createDataFrame([("d11", "Omega Core calls Zeta Node.")], "id string, text string")), **options)
+    assert again["final_documents"].count() == 6 and again["entities"].filter("title LIKE '%ALPHA%' AND size(descriptions) = 0").count() == 0
