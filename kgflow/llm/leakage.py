@@ -15,7 +15,7 @@ from .winnow import unit_ids, winnow
 
 #: Items compared in one pass over the corpus; more of them take several passes, so the index sent along stays bounded.
 ITEMS_A_PASS = 20_000
-#: (k, window) of words and of single letters: a passage of half an item with one edit in eight has 5 words, or 7 letters, in a row unchanged.
+#: (k, window) of words and of single letters: 5 words, or 7 letters, in a row unchanged give a common fingerprint. Items whose passages may have none are compared in full (see fingerprint_sure).
 WORDS, LETTERS = (3, 3), (5, 3)
 PIECE = 500
 
@@ -84,6 +84,12 @@ def seeds_sure(n: int, k: int, window: int) -> int:
     return max(1, least)
 
 
+def fingerprint_sure(n: int, run: int) -> bool:
+    """Whether every passage of at least half of n units, an eighth edited however evenly, has `run` units in a row unchanged."""
+    cases = ((x, added, (x + added) // 8) for x in range(-(-n // 2), n + 1) for added in range(x // 7 + 1))
+    return all(-(-(x - e + added) // (e + 1)) >= run for x, added, e in cases if e >= added)
+
+
 class Index:
     """Fingerprints of a bounded set of items, sorted for searching."""
 
@@ -105,7 +111,7 @@ class Index:
         self.span = [-(-len(c) * 9 // 16) + 2 for c in self.coded]
         self.need = [max(1, int(0.375 * len(c)) - 3) for c in self.coded]
         self.sure = np.array([seeds_sure(len(c), self.k, self.window) for c in self.coded] or [1])
-        self.short = [i for i, c in enumerate(self.coded) if 0 < len(c) < 2 * (self.k + self.window - 1)]
+        self.short = [i for i, c in enumerate(self.coded) if 0 < len(c) < 200 and not fingerprint_sure(len(c), self.k + self.window - 1)]
 
     def search(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(text number, item id, share of the item held) for texts that hold at least half of an item."""
@@ -144,9 +150,16 @@ class Index:
                 out.append((t, self.ids[i], best / len(self.coded[i])))
         for i in self.short:  # too short for a certain fingerprint: every place of a first matching unit is tried
             c = self.coded[i]
+            half, places = -(-len(c) // 2), {}
+            for p, x in enumerate(c):
+                places.setdefault(x, []).append(p)
             for t, u in enumerate(coded):
                 lists = u.tolist()
-                if 2 * len(set(c) & set(lists)) >= len(set(c)) and (i_best := passage(c, lists, [(p, q) for p, x in enumerate(c) for q, y in enumerate(lists) if x == y])):
+                # of a passage of x units at most x // 7 are edited, as x // 7 added ones lengthen it
+                if sum(map(set(lists).__contains__, c)) < half - half // 7:
+                    continue
+                seeds = sorted((p, q) for q, y in enumerate(lists) for p in places.get(y, ()))
+                if i_best := passage(c, lists, seeds):
                     out.append((t, self.ids[i], i_best / len(c)))
         return list({(t, i): (t, i, s) for t, i, s in sorted(out)}.values())
 

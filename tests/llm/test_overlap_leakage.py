@@ -212,3 +212,20 @@ def test_chosen_grams_share_no_word_and_cost_least(k):
         assert len(got) == n // 4 + 1 and got[-1] + k <= n and all(b - a >= k for a, b in zip(got, got[1:]))
         every = [c for c in combinations(range(n - k + 1), n // 4 + 1) if all(b - a >= k for a, b in zip(c, c[1:]))]
         assert cost[r, got].sum() == min(cost[r, list(c)].sum() for c in every)
+
+
+@pytest.mark.parametrize(("letters", "sizes"), [(False, (16, 18, 19, 20, 30)), (True, (16, 24, 32, 48, 64, 96, 97, 120))])
+def test_evenly_edited_halves_of_short_items_are_found(letters, sizes):
+    assert not leakage.fingerprint_sure(18, 5) and leakage.fingerprint_sure(20, 5)
+    assert not leakage.fingerprint_sure(96, 7) and all(leakage.fingerprint_sure(n, 7) for n in range(97, 400))
+    join = (lambda x: "".join(x)) if letters else " ".join
+    unit = (lambda i: chr(0x4E00 + i)) if letters else (lambda i: f"w{i}")
+    for n in sizes:
+        item = [unit(i) for i in range(n)]
+        part = item[: (n + 1) // 2]
+        d = len(part) // 8
+        cut = {round((j + 1) * (len(part) + 1) / (d + 1)) - 1 for j in range(d)}
+        part = [unit(5000 + i) if i in cut else x for i, x in enumerate(part)]
+        lead = [unit(9000 + i) for i in range(50)]
+        index = leakage.Index([(1, join(item))], letters)
+        assert [(t, i) for t, i, _ in index.search([join(lead), join(lead + part + lead)])] == [(1, 1)], n
