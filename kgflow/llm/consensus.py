@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,95 +37,148 @@ def votes_of(triples: DataFrame, extra: DataFrame) -> DataFrame:
     return out.filter("label IS NOT NULL AND annotator IS NOT NULL")
 
 
+def _start(counts: np.ndarray, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """(competences, guesses) to begin with: competence 0.7, guesses as the annotator's answers (a row an annotator, a column a label)."""
+    return np.full(len(counts), 0.7), (counts + smooth) / (counts.sum(1, keepdims=True) + counts.shape[1] * smooth)
+
+
+def _next(own: np.ndarray, counts: np.ndarray, t: np.ndarray, g: np.ndarray, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """(competences, guesses) of the next round from `own`, the posterior of the label given summed over the annotator's votes."""
+    true = own * t[:, None] / (t[:, None] + (1 - t[:, None]) * g)
+    spam = counts - true
+    return (true.sum(1) + smooth) / (counts.sum(1) + 2 * smooth), (spam + smooth) / (spam.sum(1, keepdims=True) + counts.shape[1] * smooth)
+
+
+def _weights(t: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """What a vote for a label adds to the label's log-posterior: ln((t + (1 - t) g) / ((1 - t) g))."""
+    return np.log1p(t[:, None] / ((1 - t[:, None]) * g))
+
+
 def competence_mixture(votes: DataFrame, labels: tuple[str, ...] = VERDICTS, rounds: int = 60, tolerance: float = 2e-3, smooth: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Expectation-maximisation over votes(item, annotator, label): (items, annotators).
 
     A label is the item's true label with the annotator's probability `competence`, else a draw from the annotator's own guess
     distribution. items: item, label (posterior mode; of equal ones the first in `labels`), confidence (its posterior),
     agreement (share of the item's vote pairs that agree; 1 for a single vote), n_votes, n_annotators. annotators: annotator,
-    competence, n_votes, guess (map label -> probability). The votes are spread by item once, so a round shuffles only one
-    row per annotator, label and task; hot annotators combine on the map side. The annotators' parameters are passed on
-    through the driver and broadcast as long as there are at most BROADCAST_ROWS annotators; more of them stay tables that
-    are written and joined. Votes given twice count twice; an empty table gives two empty tables.
+    competence, n_votes, guess (map label -> probability). Votes given twice count twice; votes with a NULL item, annotator or
+    label or another label take no part; an empty table gives two empty tables.
+
+    An item's votes are written once as a ballot, at most one entry an annotator and label. In a round every task computes the posteriors of its
+    ballots from the annotators' weights, which are sent along, and adds them up by annotator and label: one
+    exchange of at most annotators x labels rows a task, none by item. Beyond BROADCAST_ROWS annotators (whose ballots might be long
+    too) votes and parameters stay tables which are joined, and items are aggregated; both ways give the same result.
     """
+    known = votes.filter(F.col("label").isin(*labels) & F.col("annotator").isNotNull() & F.col("item").isNotNull())
+    per = materialize(known.groupBy("item", "annotator", "label").agg(F.count("*").alias("n")), "votes")
+    totals = materialize(per.groupBy("annotator", "label").agg(F.sum("n").alias("n")), "annotators")
+    few = totals.select("annotator").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    fit = _fit_ballots if few else _fit_tables
+    scored, who = fit(per, totals, labels, rounds, tolerance, smooth)
+
     k = len(labels)
-    per = votes.groupBy("item", "annotator", "label").agg(F.count("*").alias("n"))
-    per = materialize(per.repartition("item").sortWithinPartitions("item"), "votes")
-    ballots = per.groupBy("item").agg(F.collect_list(F.struct("annotator", "label", "n")).alias("ballot"))
+    l, c = [F.col(f"l{i}") for i in range(k)], [F.col(f"c{i}") for i in range(k)]
+    top, n = F.greatest(*l), reduce(lambda a, b: a + b, c)
+    mode = reduce(lambda found, i: found.when(l[i] == top, labels[i]), range(1, k), F.when(l[0] == top, labels[0]))
+    agree = reduce(lambda a, b: a + b, [x * (x - 1) for x in c])
+    items = scored.select(
+        "item", mode.alias("label"), (1 / reduce(lambda a, b: a + b, [F.exp(x - top) for x in l])).alias("confidence"),
+        F.when(n > 1, agree / (n * (n - 1))).otherwise(1.0).alias("agreement"), n.alias("n_votes"), "n_annotators",
+    )
+    return items, who
+
+
+def _prior(mass: np.ndarray) -> np.ndarray:
+    return (mass + 1) / (mass.sum() + len(mass))
+
+
+def _fit_ballots(per: DataFrame, totals: DataFrame, labels: tuple[str, ...], rounds: int, tolerance: float, smooth: float) -> tuple[DataFrame, DataFrame]:
+    """(items with l0.., c0.., n_annotators; annotators) with a bounded number of annotators, whose parameters are kept on the driver."""
+    spark, k = per.sparkSession, len(labels)
+    names = sorted({r.annotator for r in totals.select("annotator").distinct().collect()})
+    at = {a: i for i, a in enumerate(names)}
+    counts = np.zeros((len(names), k))
+    for r in totals.collect():
+        counts[at[r.annotator], labels.index(r.label)] = r.n
+    number = F.broadcast(spark.createDataFrame([(a, x, at[a] * k + j) for a in names for j, x in enumerate(labels)], f"annotator {dict(per.dtypes)['annotator']}, label string, code int"))
+    # entries are sorted, so sums don't depend on the order of arrival
+    ballots = per.join(number, ["annotator", "label"]).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("ballot"))
     ballots = materialize(ballots, "ballots")
-    # start: competence 0.7, guesses as the annotator's answers, prior as all answers
-    start = per.groupBy("annotator").agg(F.sum("n").alias("n_votes"), *[F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(labels)])
-    share = [((F.col(f"c{i}") + smooth) / (F.col("n_votes") + k * smooth)).alias(f"g{i}") for i in range(k)]
-    few = per.select("annotator").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-    def passed_on(df: DataFrame) -> DataFrame:
-        """The parameters cut from their lineage."""
-        return F.broadcast(df.sparkSession.createDataFrame(df.toPandas(), df.schema)) if few else materialize(df, "annotators")
-
-    params = passed_on(start.select("annotator", "n_votes", F.lit(0.7).alias("competence"), *share))
-    first = per.agg(*[F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, x in enumerate(labels)]).first()
-    total = sum(first) or 1
-    prior = [(c + 1) / (total + k) for c in first]
-    shown = [F.when(F.col("v.label") == x, F.col(f"g{i}")) for i, x in enumerate(labels)]
-
-    def posterior(params: DataFrame, prior: list[float]) -> DataFrame:
-        """A row for each item and answer with the item's posterior q0..qk-1."""
-        rows = ballots.select("item", F.explode("ballot").alias("v")).withColumn("annotator", F.col("v.annotator")).join(params, "annotator")
-        rows = rows.select("item", "annotator", F.col("v.label").alias("label"), F.col("v.n").alias("n"), F.col("competence").alias("t"), F.coalesce(*shown).alias("g"))
-        guess = F.log((1 - F.col("t")) * F.col("g"))
-        hit = F.log(F.col("t") + (1 - F.col("t")) * F.col("g"))
-        logs = [F.sum(F.col("n") * F.when(F.col("label") == x, hit).otherwise(guess)) + F.log(F.lit(float(prior[i]))) for i, x in enumerate(labels)]
-        sums = rows.groupBy("item").agg(F.collect_list(F.struct("annotator", "label", "n", "t", "g")).alias("ballot"), *[x.alias(f"l{i}") for i, x in enumerate(logs)])
+
+    def scored(w: np.ndarray, prior: np.ndarray) -> DataFrame:
+        """ballots with l0..lk-1, the labels' log-posteriors (up to a constant)."""
+        every = F.from_json(F.lit(json.dumps(w.ravel().tolist())), "array<double>")  # folded into one literal that travels with the plan
+        of = lambda i: F.aggregate("ballot", F.lit(float(np.log(prior[i]))), lambda a, v: a + F.when(v["code"] % k == i, v["n"] * F.get(every, v["code"])).otherwise(0.0))
+        return ballots.select("item", "ballot", *[of(i).alias(f"l{i}") for i in range(k)])
+
+    t, g = _start(counts, smooth)
+    prior = _prior(counts.sum(0))
+    for _ in range(rounds if len(names) else 0):
+        s = scored(_weights(t, g), prior)
         top = F.greatest(*[F.col(f"l{i}") for i in range(k)])
-        sums = sums.select("item", "ballot", *[F.exp(F.col(f"l{i}") - top).alias(f"e{i}") for i in range(k)])
+        s = s.select("ballot", *[F.exp(F.col(f"l{i}") - top).alias(f"e{i}") for i in range(k)])
         norm = reduce(lambda a, b: a + b, [F.col(f"e{i}") for i in range(k)])
-        return sums.select("item", "ballot", *[(F.col(f"e{i}") / norm).alias(f"q{i}") for i in range(k)])
+        q = F.array(*[F.col(f"e{i}") / norm for i in range(k)])
+        votes = s.select(q.alias("q"), F.explode("ballot").alias("v")).select(F.col("v.code").alias("code"), "v.n", "q")
+        sums = votes.groupBy("code").agg(*[F.sum(F.col("n") * F.get("q", F.lit(i))).alias(f"p{i}") for i in range(k)]).toPandas()
+        full = np.zeros((len(names) * k, k))
+        full[sums["code"].to_numpy(dtype=int)] = sums[[f"p{i}" for i in range(k)]].to_numpy(dtype=float)
+        own = full[np.arange(len(full)), np.arange(len(full)) % k].reshape(-1, k)
+        before = t
+        t, g = _next(own, counts, t, g, smooth)
+        prior = _prior(full.sum(0))
+        if np.abs(t - before).max() < tolerance:
+            break
+    given = lambda i: F.aggregate("ballot", F.lit(0).cast("long"), lambda a, v: a + F.when(v["code"] % k == i, v["n"]).otherwise(F.lit(0).cast("long")))
+    items = scored(_weights(t, g), prior)
+    items = items.select(
+        "item", *[f"l{i}" for i in range(k)], *[given(i).alias(f"c{i}") for i in range(k)],
+        F.size(F.array_distinct(F.transform("ballot", lambda v: F.floor(v["code"] / k)))).alias("n_annotators"),
+    )
+    rows = [(a, float(t[i]), int(counts[i].sum()), {x: float(g[i, j]) for j, x in enumerate(labels)}) for i, a in enumerate(names)]
+    return items, spark.createDataFrame(rows, f"annotator {dict(per.dtypes)['annotator']}, competence double, n_votes long, guess map<string,double>")
+
+
+def _fit_tables(per: DataFrame, totals: DataFrame, labels: tuple[str, ...], rounds: int, tolerance: float, smooth: float) -> tuple[DataFrame, DataFrame]:
+    """As _fit_ballots for any number of annotators: parameters are a row an annotator, all sums are aggregations."""
+    k = len(labels)
+    count = lambda df: [F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(labels)]
+    base = materialize(totals.groupBy("annotator").agg(F.sum("n").alias("n_votes"), *count(totals)), "annotators")
+    params = base.select("*", F.lit(0.7).alias("t"), *[((F.col(f"n{i}") + smooth) / (F.col("n_votes") + k * smooth)).alias(f"g{i}") for i in range(k)])
+    mass = base.agg(*[F.sum(f"n{i}") for i in range(k)]).first()
+    prior = _prior(np.array([float(x) for x in mass]))
+
+    def scored(params: DataFrame, prior: np.ndarray) -> DataFrame:
+        w = lambda i: F.log1p(F.col("t") / ((1 - F.col("t")) * F.col(f"g{i}")))
+        rows = per.join(params, "annotator")
+        own = [F.sum(F.when(F.col("label") == x, F.col("n") * w(i)).otherwise(0.0)) + float(np.log(prior[i])) for i, x in enumerate(labels)]
+        given = [F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)) for x in labels]
+        return rows.groupBy("item").agg(*[x.alias(f"l{i}") for i, x in enumerate(own)], *[x.alias(f"c{i}") for i, x in enumerate(given)], F.count_distinct("annotator").alias("n_annotators"))
 
     for _ in range(rounds):
-        rows = posterior(params, prior)
-        votes_q = rows.select(*[f"q{i}" for i in range(k)], F.explode("ballot").alias("v"))
-        own = F.coalesce(*[F.when(F.col("v.label") == x, F.col(f"q{i}")) for i, x in enumerate(labels)])
-        true = own * F.col("v.t") / (F.col("v.t") + (1 - F.col("v.t")) * F.col("v.g"))
-        sums = votes_q.groupBy(F.col("v.annotator").alias("annotator")).agg(
-            F.sum("v.n").alias("n_votes"),
-            F.sum(F.col("v.n") * true).alias("true"),
-            *[F.sum(F.when(F.col("v.label") == x, F.col("v.n") * (1 - true)).otherwise(0.0)).alias(f"s{i}") for i, x in enumerate(labels)],
-            *[F.sum(F.col("v.n") * F.col(f"q{i}")).alias(f"p{i}") for i in range(k)],
+        top = F.greatest(*[F.col(f"l{i}") for i in range(k)])
+        e = [F.exp(F.col(f"l{i}") - top) for i in range(k)]
+        norm = reduce(lambda a, b: a + b, e)
+        q = scored(params, prior).select("item", *[(x / norm).alias(f"q{i}") for i, x in enumerate(e)])
+        votes = per.join(q, "item")
+        sums = votes.groupBy("annotator").agg(
+            *[F.sum(F.when(F.col("label") == x, F.col("n") * F.col(f"q{i}")).otherwise(0.0)).alias(f"o{i}") for i, x in enumerate(labels)], *[F.sum(F.col("n") * F.col(f"q{i}")).alias(f"p{i}") for i in range(k)]
         )
-        spam = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(k)])
-        new = passed_on(
-            sums.join(params.select("annotator", F.col("competence").alias("old")), "annotator").select(
-                "annotator", "n_votes", "old", ((F.col("true") + smooth) / (F.col("n_votes") + 2 * smooth)).alias("competence"),
-                *[((F.col(f"s{i}") + smooth) / (spam + k * smooth)).alias(f"g{i}") for i in range(k)], *[f"p{i}" for i in range(k)],
-            )
+        t = F.col("t")
+        true = [F.col(f"o{i}") * t / (t + (1 - t) * F.col(f"g{i}")) for i in range(k)]
+        spam = [F.col(f"n{i}") - x for i, x in enumerate(true)]
+        every = reduce(lambda a, b: a + b, spam)
+        new = params.join(sums, "annotator").select(
+            "annotator", "n_votes", *[f"n{i}" for i in range(k)], F.abs((reduce(lambda a, b: a + b, true) + smooth) / (F.col("n_votes") + 2 * smooth) - t).alias("moved"),
+            ((reduce(lambda a, b: a + b, true) + smooth) / (F.col("n_votes") + 2 * smooth)).alias("t"),
+            *[((x + smooth) / (every + k * smooth)).alias(f"g{i}") for i, x in enumerate(spam)], *[f"p{i}" for i in range(k)],
         )
-        moved = new.agg(
-            F.max(F.abs(F.col("competence") - F.col("old"))).alias("d"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(k)]
-        ).first()
-        params = new.drop("old", *[f"p{i}" for i in range(k)])
-        if moved.d is None:
+        new = materialize(new, "annotators")
+        step = new.agg(F.max("moved").alias("moved"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(k)]).first()
+        params = new.drop("moved", *[f"p{i}" for i in range(k)])
+        if step.moved is None:
             break
-        mass = sum(moved[f"p{i}"] for i in range(k))
-        prior = [(moved[f"p{i}"] + 1) / (mass + k) for i in range(k)]
-        if moved.d < tolerance:
+        prior = _prior(np.array([step[f"p{i}"] for i in range(k)]))
+        if step.moved < tolerance:
             break
-
-    q = F.array(*[F.col(f"q{i}") for i in range(k)])
-    zero = F.lit(0).cast("long")
-
-    def held(x: str):
-        return F.aggregate(F.filter("ballot", lambda v: v["label"] == x), zero, lambda a, v: a + v["n"])
-
-    items = posterior(params, prior).select("item", q.alias("_q"), F.array(*[held(x) for x in labels]).alias("_c"), F.size(F.array_distinct(F.transform("ballot", lambda v: v["annotator"]))).alias("n_annotators"))
-    n = F.aggregate("_c", zero, lambda a, x: a + x)
-    agree = F.aggregate("_c", zero, lambda a, x: a + x * (x - 1))
-    items = items.select(
-        "item",
-        F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position("_q", F.array_max("_q")).cast("int")).alias("label"),
-        F.array_max("_q").alias("confidence"),
-        F.when(n > 1, agree / (n * (n - 1))).otherwise(1.0).alias("agreement"),
-        n.alias("n_votes"),
-        "n_annotators",
-    )
     guess = F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.array(*[F.col(f"g{i}") for i in range(k)]))
-    return items, params.select("annotator", "competence", "n_votes", guess.alias("guess"))
+    return scored(params, prior), params.select("annotator", F.col("t").alias("competence"), "n_votes", guess.alias("guess"))
