@@ -57,40 +57,37 @@ def copies(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """One row for each input row: id_col, kept (the least id of its set of copies) and n_copies.
 
     Rows with equal `fields` are copies. They are grouped by two 56-bit multiset hashes of the (field name, value) pairs,
-    aggregated on the map side first; the kept row's fields travel with the group and every member is compared with them,
-    so nothing is sorted and a hash collision can't merge different records (colliding rows are grouped by their values).
+    aggregated on the map side first, and rows meet their group in a hash join; groups holding more than a thousandth of the rows are
+    joined by broadcast. Fields of all members are then compared: grouped by fingerprint and values (a hash aggregation as well), a set
+    that turns out to hold different values is divided by them, so a hash collision merges nothing. Nothing is sorted.
     Repeated ids are copies of one another only if their fields are equal too. NULL in a field is a value of its own.
-    An empty table gives an empty result. Groups holding more than a thousandth of the rows are joined by broadcast.
+    An empty table gives an empty result.
     """
-    values = F.struct(*[F.col(f) for f in fields])
     pairs = [(f, F.coalesce(F.col(f).cast("string"), F.lit("\0"))) for f in fields]
-    rows = materialize(
-        df.select(F.col(id_col).alias("_id"), values.alias("_v"), multiset_hash(pairs, "a").alias("_a"), multiset_hash(pairs, "b").alias("_b")),
-        "copies",
-    )
-    groups = materialize(
-        rows.groupBy("_a", "_b").agg(F.min(F.struct("_id", "_v")).alias("_kept"), F.count("*").alias("n_copies")).filter("n_copies > 1"),
-        "groups",
-    )
+    named = [F.col(f).alias(f"_f{i}") for i, f in enumerate(fields)]
+    rows = materialize(df.select(F.col(id_col).alias("_id"), *named, multiset_hash(pairs, "a").alias("_a"), multiset_hash(pairs, "b").alias("_b")), "copies")
+    values, key = [f"_f{i}" for i in range(len(fields))], ["_a", "_b"]
+    groups = rows.groupBy(*key).agg(F.min("_id").alias("kept"), F.count("*").alias("n_copies")).filter("n_copies > 1")
+    groups = materialize(groups, "groups")
     total = groups.agg(F.sum("n_copies")).first()[0] or 0
-    hot = groups.filter(F.col("n_copies") > max(HOT_ROWS, HOT_SHARE * total))
-    cold = groups.filter(F.col("n_copies") <= max(HOT_ROWS, HOT_SHARE * total))
-    key = ["_a", "_b"]
-    hot_members = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti") if not hot.isEmpty() else rows
-    joined = materialize(
-        hot_members.unionByName(rest.join(cold, key)).select(
-            "_id", "_v", F.col("_kept._id").alias("kept"), "n_copies", F.expr("_v <=> _kept._v").alias("_same")
-        ),
-        "joined",
-    )
-    one = rows.join(groups.select(*key), key, "left_anti").select("_id", F.col("_id").alias("kept"), F.lit(1).cast("long").alias("n_copies"))
-    out = joined.filter("_same").select("_id", "kept", "n_copies").unionByName(one)
-    if not joined.filter("NOT _same").isEmpty():
-        odd = joined.filter("NOT _same").select("_id", F.to_json("_v", {"ignoreNullFields": "false"}).alias("_text"))
-        sets = odd.groupBy("_text").agg(F.min("_id").alias("kept"), F.count("*").alias("n_copies"))
-        out = out.unionByName(odd.join(sets, "_text").select("_id", "kept", "n_copies"))
-    return out.withColumnRenamed("_id", id_col)
+    most = max(HOT_ROWS, HOT_SHARE * total)
+    hot, cold = groups.filter(F.col("n_copies") > most), groups.filter(F.col("n_copies") <= most)
+    rest, found = rows, None
+    if not hot.isEmpty():
+        found = rows.join(F.broadcast(hot), key)
+        rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    met = rest.join(cold.hint("shuffle_hash"), key, "left")
+    joined = materialize(met if found is None else met.unionByName(found), "joined")
+    members = joined.filter("n_copies IS NOT NULL")
+    sets = members.groupBy(*key, *values).agg(F.min("_id").alias("_kept"), F.count("*").alias("_n"))
+    mixed = materialize(sets.groupBy(*key).agg(F.count("*").alias("_sets")).filter("_sets > 1").select(*key), "mixed")
+    if mixed.isEmpty():
+        return joined.select(F.col("_id").alias(id_col), F.coalesce("kept", "_id").alias("kept"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    # fingerprints that different values share, next to never
+    same = [F.col(f"m.{v}").eqNullSafe(F.col(f"s.{v}")) for v in (*key, *values)]
+    odd = members.join(mixed, key, "left_semi").alias("m").join(sets.join(mixed, key, "left_semi").alias("s"), reduce(lambda a, b: a & b, same))
+    sure = joined.join(mixed, key, "left_anti").select(F.col("_id").alias(id_col), F.coalesce("kept", "_id").alias("kept"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    return sure.unionByName(odd.select(F.col("m._id").alias(id_col), F.col("s._kept").alias("kept"), F.col("s._n").alias("n_copies")))
 
 
 def triple_copies(triples: DataFrame, labels: DataFrame | None) -> DataFrame:
