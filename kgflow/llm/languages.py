@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
@@ -21,6 +21,10 @@ TRI_BITS, UNI_BITS = 16, 12
 #: A language is added to a document's set only if the log-likelihood gains more than this; n-grams overlap, hence the temper.
 PENALTY = 10.0
 TEMPER = 0.5
+#: Documents of at least LONG letters whose characters score this many standard deviations under the main language's median are in none of LANGUAGES.
+LONG, FAR = 40, 8.0
+#: Code of a text in none of LANGUAGES.
+OTHER = "und"
 PIECE = 500
 SHORT = 16
 
@@ -128,9 +132,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Smoothed log-probabilities of hashed trigrams and characters, a column for each language. 2.9 MB, whatever the data."""
+    """Smoothed log-probabilities of hashed trigrams and characters, a column for each language. 2.9 MB, whatever the data.
+
+    floor: per language, the least mean score of a character at which a document of at least LONG letters is still taken for it.
+    """
 
     def __init__(self, tri: np.ndarray, uni: np.ndarray):
+        self.floor = np.full(tri.shape[1], -np.inf)
         mean = tri.sum(1, keepdims=True) / max(1.0, tri.sum())
         self.tri = np.log((tri + 200.0 * mean + 0.02) / (tri.sum(0) + 200.0 + 0.02 * len(tri))).astype(np.float32)
         self.uni = np.log((uni + 0.5) / (uni.sum(0) + 0.5 * len(uni))).astype(np.float32)
@@ -178,6 +186,13 @@ def fit(texts: list[str], labels: list[str], rounds: int = 3) -> Model:
         weights = np.exp(z)
         weights /= weights.sum(1, keepdims=True)
         m = model(weights)
+    z, best = m.score(parts), weights.argmax(1) if len(parts) else np.zeros(0, int)
+    size = np.array([len(p) for p in parts])
+    for j in range(len(LANGUAGES)):
+        own = next((x for least in (LONG, LONG // 2) if len(x := np.flatnonzero((best == j) & (size >= least))) >= 30), ())
+        if len(own):
+            mean = z[own, j] / size[own]
+            m.floor[j] = np.median(mean) - FAR * mean.std()
     return m
 
 
@@ -234,46 +249,42 @@ def judge(texts: list[str], model: Model) -> list[list[tuple[int, int, str, floa
             j = int(q[i].argmax()) if size[i] else -1
             lang = LANGUAGES[chosen[j]] if j >= 0 else (found[-1][2] if found else LANGUAGES[chosen[0]])
             sure = float(full[i, chosen[j]] if len(chosen) == 1 else q[i, j]) if j >= 0 else 0.0
+            mine = float(z[i, chosen[j]]) if j >= 0 else 0.0
             if found and found[-1][2] == lang:
                 last = found[-1]
                 last[3] = (last[3] * last[4] + sure * size[i]) / max(1.0, last[4] + size[i])
-                last[1], last[4] = b, last[4] + size[i]
+                last[1], last[4], last[5], last[6] = b, last[4] + size[i], last[5] + mine, last[6] + len(p[i])
             else:
-                found.append([a, b, lang, sure, size[i]])
-        out.append([(a, b, lang, c, int(n)) for a, b, lang, c, n in found])
+                found.append([a, b, lang, sure, size[i], mine, len(p[i])])
+        main = max(found, key=lambda f: f[4])
+        strange = size.sum() >= LONG and sum(f[5] for f in found) < sum(f[6] for f in found) * model.floor[LANGUAGES.index(main[2])]
+        # what is like none of the languages is one stretch, with confidence in none
+        out.append([(found[0][0], found[-1][1], OTHER, 0.0, int(size.sum()))] if strange else [(a, b, lang, c, int(n)) for a, b, lang, c, n, _, _ in found])
     return out
 
 
+def code_column(c: str) -> Column:
+    """code_of as a Column expression."""
+    known = F.create_map(*[F.lit(x) for pair in sorted(_CODE.items()) for x in pair])
+    plain = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.coalesce(F.try_element_at(known, plain), F.try_element_at(known, F.regexp_extract(plain, r"(?U)^([^\s_\-.@(/,;]*)", 1)))
+
+
 def train(df: DataFrame, id_col: str, docs: int) -> Model:
-    """Fit the models on about `docs` documents a language, by the codes their labels name."""
-    code = F.udf(code_of, "string")  # over the few distinct labels only
-    labels = df.groupBy("lang").count().withColumn("code", code("lang")).filter(F.col("code").isin(*LANGUAGES)).limit(10_000).collect()
-    total: dict[str, int] = {}
-    for r in labels:
-        total[r.code] = total.get(r.code, 0) + r["count"]
-    parts = []
-    for x, n in sorted(total.items()):
-        own = df.filter(F.col("lang").isin([r.lang for r in labels if r.code == x]))
-        if n > docs:
-            own = own.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * docs / n) + 1)
-        parts.append(own.select("text", F.lit(x).alias("code"), F.col(id_col).alias("_id")))
-    if not parts:
+    """Fit the models on about `docs` documents a language, by the codes their labels name: one scan counts the codes, one takes the sample."""
+    coded = df.withColumn("_code", code_column("lang")).filter(F.col("_code").isin(*LANGUAGES))
+    total = {r["_code"]: r["count"] for r in coded.groupBy("_code").count().collect()}
+    if not total:
         return Model(np.zeros((1 << TRI_BITS, len(LANGUAGES))), np.zeros((1 << UNI_BITS, len(LANGUAGES))))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    got = sorted(rows.collect(), key=lambda r: (r.code, r._id))
+    share = F.create_map(*[F.lit(x) for c, n in sorted(total.items()) for x in (c, int(1_000_000 * min(1.0, docs / n)) + 1)])
+    drawn = coded.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.element_at(share, F.col("_code")))
+    got = drawn.select("text", F.col("_code").alias("code"), F.col(id_col).alias("_id")).limit(4 * docs * len(LANGUAGES))  # a repeated id can't fill the driver
+    got = sorted(got.collect(), key=lambda r: (r.code, r._id, r.text))
     return fit([r.text for r in got], [r.code for r in got])
 
 
-def language_stretches(df: DataFrame, id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> DataFrame:
-    """id_col, stretch_no, start_at, end_at, lang, confidence, letters for every stretch of one language in `text`.
-
-    Per document, expectation-maximisation estimates language proportions from the n-gram likelihoods of its segments; the
-    set of languages is grown while the penalised likelihood rises. df holds id_col, text and lang (the unreliable
-    label; used only to fit). NULL, empty and letterless texts have no row; a repeated row is judged each time; texts are
-    processed whole. Confidence is the mean posterior of the stretch's segments, weighted by their letters.
-    """
+def _stretches(df: DataFrame, id_col: str, fit_docs: int) -> DataFrame:
+    """language_stretches with label, the code that the row's lang names."""
     prose = df.select(id_col, "text", "lang").filter(r"text RLIKE '\\p{L}'")
     model = train(prose, id_col, fit_docs)
 
@@ -281,26 +292,37 @@ def language_stretches(df: DataFrame, id_col: str = "doc_id", fit_docs: int = FI
         for whole in batches:
             for at in range(0, len(whole), PIECE):
                 pdf = whole.iloc[at : at + PIECE]
-                rows = [(i, n, *x) for i, xs in zip(pdf[id_col], judge(list(pdf["text"]), model)) for n, x in enumerate(xs)]
-                yield pd.DataFrame(rows, columns=[id_col, "stretch_no", "start_at", "end_at", "lang", "confidence", "letters"])
+                rows = [(i, l, n, *x) for i, l, xs in zip(pdf[id_col], pdf["label"], judge(list(pdf["text"]), model)) for n, x in enumerate(xs)]
+                yield pd.DataFrame(rows, columns=[id_col, "label", "stretch_no", "start_at", "end_at", "lang", "confidence", "letters"])
+
+    schema = f"{id_col} {dict(df.dtypes)[id_col]}, label string, stretch_no int, start_at long, end_at long, lang string, confidence double, letters long"
+    return spread(prose.select(id_col, "text", code_column("lang").alias("label"))).mapInPandas(run, schema)
+
+
+def language_stretches(df: DataFrame, id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> DataFrame:
+    """id_col, stretch_no, start_at, end_at, lang, confidence, letters for every stretch of one language in `text`.
 
-    schema = f"{id_col} {dict(df.dtypes)[id_col]}, stretch_no int, start_at long, end_at long, lang string, confidence double, letters long"
-    return spread(prose.select(id_col, "text")).mapInPandas(run, schema)
+    Per document, expectation-maximisation estimates language proportions from the n-gram likelihoods of its segments; the
+    set of languages is grown while the penalised likelihood rises. df holds id_col, text and lang (the unreliable
+    label; used only to fit). NULL, empty and letterless texts have no row; a repeated row is judged each time; texts are
+    processed whole. Confidence is the mean posterior of the stretch's segments, weighted by their letters. A
+    document that is unlike all LANGUAGES is one stretch of OTHER with confidence 0.
+    """
+    return _stretches(df, id_col, fit_docs).drop("label")
 
 
 def document_languages(df: DataFrame, id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> DataFrame:
     """id_col, label (what lang says, as a code), languages (main one first), confidence, is_case for every document with letters.
 
     is_case: the label is missing or says nothing, names another language than the only one found, or several were found.
+    Rows of one id are one document, whose label is the least of theirs. A language that is none of LANGUAGES is OTHER.
     """
-    named = F.udf(code_of, "string")
-    doc = language_stretches(df, id_col, fit_docs).groupBy(id_col, "lang").agg(F.sum("letters").alias("n"), F.sum(F.col("letters") * F.col("confidence")).alias("c"))
+    doc = _stretches(df, id_col, fit_docs).groupBy(id_col, "lang").agg(F.min("label").alias("label"), F.sum("letters").alias("n"), F.sum(F.col("letters") * F.col("confidence")).alias("c"))
     doc = doc.groupBy(id_col).agg(
+        F.min("label").alias("label"),
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "lang"))), lambda x: x["lang"]).alias("languages"),
         (F.sum("c") / F.sum("n")).alias("confidence"),
     )
-    labels = df.groupBy("lang").count().select("lang", named("lang").alias("label"))
-    rows = df.select(id_col, "lang").dropDuplicates([id_col]).join(labels, "lang", "left")
-    out = doc.join(rows.select(id_col, "label"), id_col, "left")
-    case = F.col("label").isNull() | (F.size("languages") > 1) | (F.col("label") != F.element_at("languages", 1))
-    return out.select(id_col, "label", "languages", "confidence", case.alias("is_case"))
+    only_other = (F.size("languages") == 1) & (F.element_at("languages", 1) == OTHER)
+    case = F.col("label").isNull() | (F.size("languages") > 1) | ((F.col("label") != F.element_at("languages", 1)) & ~(only_other & ~F.col("label").isin(*LANGUAGES)))
+    return doc.select(id_col, "label", "languages", "confidence", case.alias("is_case"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialize, table
 from . import consensus, copies, languages, leakage, neighbours, overlap, packing, sentences, terms
 
 
@@ -66,7 +66,7 @@ def _prose(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     docs = languages.document_languages(_prose(spark, d)).filter("is_case")
-    return docs.select("doc_id", F.explode("languages").alias("lang"))
+    return docs.select("doc_id", F.explode("languages").alias("lang")).filter(F.col("lang") != languages.OTHER)
 
 
 def p5_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +96,12 @@ def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, d, "documents")), 2048)
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p7_sequences: no sequence over full, no document lost, changed or divided without need, hardly more sequences than needed."""
+    sizes = materialize(packing.token_counts(table(spark, d, "documents")), "sizes")
+    return packing.packing_checks(packing.pack(sizes, 2048), sizes, 2048)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
 
