@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from kgflow.llm import leakage, overlap
-from kgflow.llm.winnow import unit_ids, winnow
+from kgflow.llm.winnow import hashed_units, unit_characters, unit_ids, winnow
 
 
 def plain_distance(a, b):
@@ -133,13 +133,23 @@ def test_leaks_in_letters_short_items_and_empty_tables(spark):
     assert leakage.leaks(d.limit(0), i).collect() == [] and leakage.leaks(d, i.limit(0)).collect() == []
 
 
-def test_items_in_blocks_give_the_same(spark, leak_case, monkeypatch):
+def test_fingerprints_joined_by_shuffle_give_the_same(spark, leak_case, monkeypatch):
     items, docs, want = leak_case
-    monkeypatch.setattr(leakage, "ITEMS_A_PASS", 5)
+    monkeypatch.setattr(leakage, "BROADCAST_PRINTS", 5)
+    monkeypatch.setattr(leakage, "MOST_BITS", 16)
     i = spark.createDataFrame([(a, " ".join(t)) for a, t in items], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), i).collect()} == want
 
 
+def test_hashed_units_are_the_words_and_letters():
+    texts = ["Hello, WORLD hello 12ab", "", "日本語 a_b é", "...", "world \U0001d7d8x"]
+    used = unit_characters()
+    units, sizes = hashed_units(texts, False, used)
+    assert sizes.tolist() == [4, 0, 4, 0, 2] and units[1] == units[8] and units[0] == units[2] and len(set(units.tolist())) == 8
+    assert hashed_units(texts, True, used)[1].tolist() == [19, 0, 6, 0, 7]
+    assert hashed_units([], False, used)[1].tolist() == [] and hashed_units(["-"], True, used)[1].tolist() == [0]
+
+
 def test_very_long_texts(spark):
     rng = random.Random(11)
     long = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
@@ -214,18 +224,53 @@ def test_chosen_grams_share_no_word_and_cost_least(k):
         assert cost[r, got].sum() == min(cost[r, list(c)].sum() for c in every)
 
 
-@pytest.mark.parametrize(("letters", "sizes"), [(False, (16, 18, 19, 20, 30)), (True, (16, 24, 32, 48, 64, 96, 97, 120))])
-def test_evenly_edited_halves_of_short_items_are_found(letters, sizes):
-    assert not leakage.fingerprint_sure(18, 5) and leakage.fingerprint_sure(20, 5)
-    assert not leakage.fingerprint_sure(96, 7) and all(leakage.fingerprint_sure(n, 7) for n in range(97, 400))
+def allowed(item, part):
+    """Whether `part` is a passage of half the item with an eighth edited, by plain dynamic programming over all stretches of the item."""
+    n = len(item)
+    for a in range(n):
+        prev = list(range(len(part) + 1))
+        for x, u in enumerate(item[a:], 1):
+            cur = [x]
+            for j, v in enumerate(part, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (u != v)))
+            prev = cur
+            if 2 * x >= n and 8 * prev[-1] <= max(x, len(part)):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("letters", [False, True])
+def test_halves_of_items_of_any_length_are_found_however_edited(spark, letters):
+    rng = random.Random(31)
     join = (lambda x: "".join(x)) if letters else " ".join
     unit = (lambda i: chr(0x4E00 + i)) if letters else (lambda i: f"w{i}")
-    for n in sizes:
-        item = [unit(i) for i in range(n)]
-        part = item[: (n + 1) // 2]
-        d = len(part) // 8
-        cut = {round((j + 1) * (len(part) + 1) / (d + 1)) - 1 for j in range(d)}
-        part = [unit(5000 + i) if i in cut else x for i, x in enumerate(part)]
-        lead = [unit(9000 + i) for i in range(50)]
-        index = leakage.Index([(1, join(item))], letters)
-        assert [(t, i) for t, i, _ in index.search([join(lead), join(lead + part + lead)])] == [(1, 1)], n
+    items, docs, want = [], [], set()
+    for n in [1, 2, 3, 4, 5, 7, 8, 9, 11, 14, 16, 17, 18, 19, 20, 24, 27, 30, 32, 40, 48, 56, 64, 96, 97, 120]:
+        item = [unit(len(items) * 150 + i) for i in range(n)]
+        items.append((n, join(item)))
+        for kind in ("even", "added", "random", "too many"):
+            half = (n + 1) // 2
+            start = rng.randrange(0, n - half + 1)
+            part = item[start : start + half]
+            d = half // 7 if kind == "added" else half // 8 + (kind == "too many") * (2 + half // 4)
+            at = [round((j + 1) * (half + 1) / (d + 1)) - 1 for j in range(d)] if kind != "random" else rng.sample(range(half), d)
+            if kind == "added":
+                part = [x for i, u in enumerate(part) for x in ([unit(15_000 + i), u] if i in at else [u])]
+            else:
+                part = [unit(16_000 + i) if i in at else u for i, u in enumerate(part)]
+            lead = [unit(18_000 + rng.randrange(900)) for _ in range(30)]
+            docs.append((len(docs), join(lead + part + lead[::-1])))
+            if allowed(item, part):
+                want.add((docs[-1][0], n))
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 70 and want <= {(r.doc_id, r.item_id) for r in got}
+    assert len(got) == len(want)
+
+
+def test_a_shape_is_sure():
+    for n in (*range(1, 130), 300):
+        for letters in (False, True):
+            k, window, need = leakage.shape(n, letters)
+            for x, added, e in leakage.cases(n):
+                runs = -(-(x - e + added) // (e + 1))
+                assert runs >= k + window - 1 and need >= 1
