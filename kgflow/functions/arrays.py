@@ -89,3 +89,36 @@ def normalized(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot(a, b) / (norm(a) * norm(b)))
+
+
+def top_tokens(logits: Column, k: int) -> Column:
+    """The k likeliest positions (from 0) with their softmax probabilities, as structs (token, prob), likeliest first, of equal ones the smaller position."""
+    p = F.transform(softmax(logits), lambda x, i: F.struct((-x).alias("p"), i.alias("token")))
+    return F.transform(F.slice(F.array_sort(p), 1, k), lambda x: F.struct(x["token"].alias("token"), (-x["p"]).alias("prob")))
+
+
+def head_position(tokens: Column, variants: Column) -> Column:
+    """Where the first of the variants (arrays of tokens) that occurs at all stands in tokens, from 0; -1 if none does."""
+    at = F.filter(F.transform(variants, lambda v: find_subarray(tokens, v)), lambda p: p >= 0)
+    return F.coalesce(F.try_element_at(at, F.lit(1)), F.lit(-1))
+
+
+def rebuilt(flat: Column, sizes: Column) -> Column:
+    """An array of arrays of the given sizes from their elements one after another (the reverse of flatten)."""
+    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda s, n: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + n.cast("int"))))
+    return F.zip_with(ends, sizes, lambda e, n: F.slice(flat, e - n.cast("int") + 1, n.cast("int")))
+
+
+def has_types(c: Column, fields: dict[str, str]) -> Column:
+    """Whether a JSON object has every field with the type (as schema_of_variant names it, such as STRING, BIGINT, BOOLEAN or ARRAY)."""
+    v = F.try_parse_json(c)
+    ok = F.lit(True)
+    for name, kind in fields.items():
+        got = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        ok = ok & F.coalesce(got.startswith(kind), F.lit(False))
+    return ok & v.isNotNull()
+
+
+def namespaced(c: Column, chapter: Column, width: int = 100_000) -> Column:
+    """Ids of a chapter (from 1) moved into a range of their own."""
+    return c + (chapter - 1) * width

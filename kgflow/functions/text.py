@@ -107,9 +107,20 @@ def last_json_lists(c: Column, n: int) -> Column:
 
 
 def last_json_object(c: Column) -> Column:
-    """The right-most {...} without inner braces, re-serialised; '' if it is no valid object."""
-    found = F.try_element_at(F.regexp_extract_all(c, F.lit(r"(?s)\{[^{}]*\}"), F.lit(0)), F.lit(-1))
-    return F.coalesce(F.to_json(F.from_json(found, "map<string,string>")), F.lit(""))
+    """The right-most {...} with as many opening as closing braces (so nested ones stay whole) that parses as an object, with its keys sorted; '' if there is none."""
+    end = F.length(c) - F.coalesce(F.nullif(F.instr(F.reverse(c), "}"), F.lit(0)), F.length(c) + 1) + 1
+    body = F.when(end > 0, F.substr(c, F.lit(1), end))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda p: F.substr(body, p, F.lit(1)) == "{")
+    found = F.filter(F.transform(starts, lambda p: F.substr(body, p)), lambda x: (F.length(F.replace(x, F.lit("{"), F.lit(""))) == F.length(F.replace(x, F.lit("}"), F.lit("")))) & F.try_parse_json(x).isNotNull())
+    return F.coalesce(F.to_json(F.try_parse_json(F.try_element_at(found, F.lit(-1)))), F.lit(""))
+
+
+def repaired_json(c: Column) -> Column:
+    """The outermost {...} of an answer with fences, comments of models and trailing commas removed and single quotes read as double ones, as canonical JSON; NULL if it still can't be parsed."""
+    body = F.regexp_extract(F.regexp_replace(c, "```(?:json)?", ""), r"(?s)(\{.*\})", 1)
+    plain = F.regexp_replace(body, r",\s*([}\]])", "$1")
+    quoted = F.regexp_replace(plain, r"'", '"')
+    return F.to_json(F.coalesce(F.try_parse_json(body), F.try_parse_json(plain), F.try_parse_json(quoted)))
 
 
 def boxed_choice(c: Column) -> Column:
@@ -203,11 +214,92 @@ def delimited(cols: list[str], sep: str = "|") -> Column:
     return F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
 
 
-def noun_phrases(c: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Upper-cased names found by a rule: runs of capitalised words, and words with digits or hyphens inside; stop words left out.
+# How tagged words merge into noun phrases, which tags make one, and tags left out.
+PHRASE_GRAMMAR = {("PROPN", "PROPN"): "PROPN", ("NOUN", "NOUN"): "NOUNS", ("NOUNS", "NOUN"): "NOUNS", ("ADJ", "ADJ"): "ADJ", ("ADJ", "NOUN"): "NOUNS"}
+PHRASE_TAGS = ("PROPN", "NOUNS")
+LEFT_OUT_TAGS = ("DET", "PRON", "INTJ", "X")
+#: Longest word of a phrase.
+WORD_LENGTH = 15
+
+
+def is_compound(words: Column) -> Column:
+    """Whether a word has a hyphen with something at its side."""
+    return F.exists(words, lambda w: F.contains(w, F.lit("-")) & (F.length(F.trim(w)) > 1))
+
+
+def short_words(words: Column, most: int = WORD_LENGTH) -> Column:
+    return F.forall(words, lambda w: F.length(w) <= most)
+
 
-    It stands where a part-of-speech tagger would be plugged in.
+def plain_words(words: Column) -> Column:
+    """Whether all words consist of Latin letters, digits and hyphens."""
+    return F.forall(words, lambda w: w.rlike(r"^[a-zA-Z0-9\-]+$"))
+
+
+def is_entity(label: Column, words: Column) -> Column:
+    """Whether a named entity counts: a number or rank only with several words or a compound one."""
+    number = label.isin("CARDINAL", "ORDINAL")
+    return (~number & (F.size(words) > 0)) | (number & ((F.size(words) > 1) | is_compound(words)))
+
+
+def kept_phrase(phrase: Column, proper: Column, stop: tuple[str, ...] = (), most: int = WORD_LENGTH) -> Column:
+    """The phrase in upper case without stop nouns; NULL unless it is proper, of several words or compound, and its words are plain and short."""
+    words = tokens(phrase)
+    if stop:
+        words = F.filter(words, lambda w: ~F.upper(w).isin(*[x.upper() for x in stop]))
+    ok = (proper | (F.size(words) > 1) | is_compound(words)) & plain_words(words) & short_words(words, most) & (F.size(words) > 0)
+    return F.when(ok, F.upper(F.array_join(words, " ")))
+
+
+def merged_tags(tagged: Column, grammar: dict[tuple[str, str], str] = PHRASE_GRAMMAR, wanted: tuple[str, ...] = PHRASE_TAGS, left_out: tuple[str, ...] = LEFT_OUT_TAGS) -> Column:
+    """Noun phrases, as structs (text, pos), of a sentence's tagged words (text, pos): the left-most two neighbours whose tags the grammar
+    names merge, again and again, until none do.
+
+    One pass from the left does the same, as in PHRASE_GRAMMAR a merged phrase never merges with a word before it that its first word wouldn't
+    have merged with: each word joins the phrase at its left or begins one.
     """
+    rule = F.create_map(*[F.lit(x) for (a, b), c in grammar.items() for x in (f"{a},{b}", c)])
+    words = F.filter(tagged, lambda t: ~t["pos"].isin(*left_out) & (F.trim(t["text"]) != "") & (t["text"] != "-"))
+    made = lambda a, b: F.try_element_at(rule, F.concat_ws(",", a["pos"], b["pos"]))
+    joined = lambda a, b: F.struct(F.concat_ws(" ", a["text"], b["text"]).alias("text"), made(a, b).alias("pos"))
+    kind = "array<struct<text:string,pos:string>>"
+
+    def put(done: Column, w: Column) -> Column:
+        w = F.struct(w["text"].alias("text"), w["pos"].alias("pos"))
+        last = F.try_element_at(done, F.lit(-1))
+        return F.when((F.size(done) > 0) & made(last, w).isNotNull(), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined(last, w)))).otherwise(F.concat(done, F.array(w))).cast(kind)
+
+    return F.filter(F.aggregate(words, F.array().cast(kind), put), lambda t: t["pos"].isin(*wanted))
+
+
+def tagged_phrases(tagged: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Distinct noun phrases of tagged words, merged by the grammar and kept by kept_phrase."""
+    found = F.transform(merged_tags(tagged), lambda t: kept_phrase(t["text"], t["pos"] == "PROPN", stop))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+
+
+# Words by which the stand-in tagger knows determiners and pronouns.
+DETERMINERS = ("a", "an", "the", "this", "that", "these", "those", "each", "every", "some", "any", "no", "both", "all", "another", "either", "neither")
+PRONOUNS = ("i", "you", "he", "she", "it", "we", "they", "them", "us", "him", "her", "its", "their", "our", "his", "which", "who", "whose", "what", "one")
+SMALL_WORDS = ("and", "or", "but", "of", "in", "on", "to", "for", "with", "at", "by", "from", "as", "into", "than", "then", "if", "when", "while", "not", "is", "are", "was", "were", "be", "been", "has", "have", "had", "do", "does", "did", "will", "would", "can", "could", "may", "must", "should", "so", "because", "whenever", "after", "before", "through", "still", "again", "first", "only")
+
+
+def rule_tags(c: Column) -> Column:
+    """Words of a text with part-of-speech tags by plain rules (capitals, endings, lists of small words): the stand-in where a tagger is plugged in."""
+    words = F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*|[^\s\p{L}\p{N}])"), F.lit(1))
+
+    def tag(w: Column, i: Column) -> Column:
+        low = F.lower(w)
+        return (
+            F.when(low.isin(*DETERMINERS), "DET").when(low.isin(*PRONOUNS), "PRON").when(low.isin(*SMALL_WORDS), "ADP").when(w.rlike(r"^[^\p{L}\p{N}]$"), "PUNCT").when(w.rlike(r"^\p{N}+$"), "NUM")
+            .when((i > 0) & w.rlike(r"^\p{Lu}"), "PROPN").when(low.rlike(r"(ing|ed|izes?|ifies|ates?)$"), "VERB").when(low.rlike(r"ly$"), "ADV").when(low.rlike(r"(ous|ful|ive|able|ible|al|ic|less|ant|ent)$"), "ADJ").otherwise("NOUN")
+        )
+
+    return F.transform(words, lambda w, i: F.struct(w.alias("text"), tag(w, i).alias("pos")))
+
+
+def noun_phrases(c: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Upper-cased noun phrases of a text: names (runs of capitalised words) and the phrases that the grammar makes of its tagged words; stop words left out."""
     found = F.regexp_extract_all(c, F.lit(r"\b([A-Z][A-Za-z0-9]+(?:[ -][A-Z0-9][A-Za-z0-9]*)*)\b"), F.lit(1))
     upper = F.array_distinct(F.transform(found, F.upper))
     return F.filter(upper, lambda x: (F.length(x) > 2) & ~x.isin(*[s.upper() for s in stop])) if stop else F.filter(upper, lambda x: F.length(x) > 2)
@@ -220,3 +312,18 @@ def sentences_simple(c: Column) -> Column:
 
 def valid_word_start(token: Column, prefix: str = "##") -> Column:
     return ~token.startswith(prefix) & token.rlike(r"^[\p{L}\p{N}]")
+
+
+def seeded_uuid(seed: int, *cols: Column) -> Column:
+    """A version-4 UUID that depends on a seed and the values alone."""
+    h = F.md5(F.concat_ws("\u0001", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), F.pmod(F.conv(part(17, 1), 16, 10).cast("int"), F.lit(4)) + 1)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def unit_ids_of(sources: Column, unit_ids: Column) -> Column:
+    """A comma list of indexes into unit_ids (from 0) as the ids they stand for; what is no index is dropped."""
+    at = F.transform(F.split(sources, ","), lambda x: F.try_to_number(F.trim(x), F.lit("999999999")).cast("int"))
+    ids = F.transform(F.filter(at, lambda i: i.isNotNull() & (i >= 0) & (i < F.size(unit_ids))), lambda i: F.get(unit_ids, i))
+    return F.array_join(ids, ", ")

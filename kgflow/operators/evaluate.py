@@ -19,14 +19,30 @@ def fact_score(df: DataFrame, key: list[str], accepted: str, group: list[str] =
 
 
 def accuracy(truth: DataFrame, answers: DataFrame, key: list[str], level: str) -> DataFrame:
-    """seed, level (NULL: all), accuracy: every truth counts; a missing answer is wrong. Spark's rollup gives the levels and the total."""
-    seeds = answers.select("seed").distinct()
-    rows = truth.crossJoin(F.broadcast(seeds)).join(answers.select(*key, "seed", "said"), [*key, "seed"], "left")
-    ok = F.when(F.col("said") == F.col("answer"), 1.0).otherwise(0.0)
-    out = rows.groupBy("seed", level).agg(F.sum(ok).alias("_h"), F.count("*").alias("_n"))
+    """seed, level (NULL: all), accuracy: every truth counts for every seed; a missing answer is wrong.
+
+    Right answers are counted by seed and level, truths by level; only these small tables meet, not truths and seeds.
+    """
+    hit = truth.join(answers.select(*key, "seed", "said"), key).filter(F.col("said") == F.col("answer"))
+    hits = hit.groupBy("seed", level).agg(F.count("*").alias("_h"))
+    cells = answers.select("seed").distinct().crossJoin(F.broadcast(truth.groupBy(level).agg(F.count("*").alias("_n"))))
+    out = cells.join(hits.withColumnRenamed(level, "_l"), (cells["seed"] == hits["seed"]) & cells[level].eqNullSafe(F.col("_l")), "left").select(cells["seed"], level, F.coalesce("_h", F.lit(0)).alias("_h"), "_n")
     return out.rollup("seed", level).agg(F.sum("_h").alias("_h"), F.sum("_n").alias("_n"), F.grouping("seed").alias("_g")).filter("_g = 0").select("seed", level, (F.col("_h") / F.col("_n")).alias("accuracy"))
 
 
+def best_epochs(log: DataFrame) -> DataFrame:
+    """Of a trainer's log (epoch, loss, eval_loss, eval_accuracy) the epochs of least losses and greatest accuracy, and their values; the first of equal ones."""
+    at = lambda c, sign: F.min(F.when(F.col(c).isNotNull(), F.struct((sign * F.col(c)).alias("v"), "epoch")))
+    out = log.agg(at("loss", 1).alias("a"), at("eval_loss", 1).alias("b"), at("eval_accuracy", -1).alias("c"))
+    return out.select(F.col("a.epoch").alias("loss_epoch"), F.col("a.v").alias("loss"), F.col("b.epoch").alias("eval_loss_epoch"), F.col("b.v").alias("eval_loss"), F.col("c.epoch").alias("accuracy_epoch"), (-F.col("c.v")).alias("accuracy"))
+
+
+def usage(calls: DataFrame, category: str = "category") -> DataFrame:
+    """category (NULL: all), llm_calls, prompt_tokens, output_tokens summed over calls; NULL counts are 0."""
+    total = [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("llm_calls", "prompt_tokens", "output_tokens")]
+    return calls.filter(F.col(category).isNotNull()).rollup(category).agg(*total)
+
+
 def over_seeds(acc: DataFrame, level: str) -> DataFrame:
     """Mean and sample variance over the seeds."""
     return acc.groupBy(level).agg(F.round(F.avg("accuracy"), 6).alias("mean"), F.round(F.var_samp("accuracy"), 6).alias("variance"))
@@ -44,3 +60,8 @@ def masked_accuracy(df: DataFrame, label: str, said: str, ignore: int = -100) ->
 
 def perplexity(df: DataFrame, loss: str) -> DataFrame:
     return df.agg(F.exp(F.avg(loss)).alias("perplexity"))
+
+
+def token_logprobs(df: DataFrame, key: list[str], prob: str) -> DataFrame:
+    """key, score (sum of ln(prob + 1e-12), unweighted), tokens; NULL probabilities are left out."""
+    return df.filter(F.col(prob).isNotNull()).groupBy(*key).agg(F.sum(F.log(F.col(prob) + 1e-12)).alias("score"), F.count("*").alias("tokens"))

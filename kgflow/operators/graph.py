@@ -1,12 +1,11 @@
-"""Graphs as vertex and edge tables: degrees, co-occurrence, pruning, components, communities, paths."""
+"""Graphs as vertex and edge tables: degrees, co-occurrence, pruning, components, paths, fixed topologies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .ids import numbered
+from ..session import materialize, small
 
 
 def canonical_edges(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -47,16 +46,20 @@ def noun_nodes(mentions: DataFrame) -> DataFrame:
 
 
 def noun_edges(mentions: DataFrame) -> DataFrame:
-    """source < target, weight (text units holding both), pmi = log2(p_xy / (p_x p_y)) with p over all edge weights and all frequencies."""
+    """source < target, weight (text units holding both), text_unit_ids (those, sorted), pmi = log2(p_xy / (p_x p_y)) with p over all edge weights and all frequencies.
+
+    Pairs are formed inside text units, whose size bounds them.
+    """
     m = mentions.select("text_unit_id", "title").filter("title IS NOT NULL").distinct()
     a, b = m.select("text_unit_id", F.col("title").alias("source")), m.select("text_unit_id", F.col("title").alias("target"))
-    edges = a.join(b, "text_unit_id").filter("source < target").groupBy("source", "target").agg(F.count("*").alias("weight"))
+    edges = a.join(b, "text_unit_id").filter("source < target").groupBy("source", "target").agg(F.count("*").alias("weight"), F.array_sort(F.collect_list("text_unit_id")).alias("text_unit_ids"))
+    edges = materialize(edges, "edges")
     nodes = m.groupBy("title").agg(F.count("*").alias("f"))
     totals = edges.agg(F.sum("weight").alias("_w")).crossJoin(nodes.agg(F.sum("f").alias("_f")))
     out = edges.join(nodes.select(F.col("title").alias("source"), F.col("f").alias("_x")), "source").join(nodes.select(F.col("title").alias("target"), F.col("f").alias("_y")), "target")
     out = out.crossJoin(F.broadcast(totals))
     pmi = F.log2((F.col("weight") / F.col("_w")) / ((F.col("_x") / F.col("_f")) * (F.col("_y") / F.col("_f"))))
-    return out.select("source", "target", "weight", pmi.alias("pmi"))
+    return out.select("source", "target", "weight", "text_unit_ids", pmi.alias("pmi"))
 
 
 def upper_threshold(df: DataFrame, value: str, factor: float):
@@ -64,10 +67,11 @@ def upper_threshold(df: DataFrame, value: str, factor: float):
     return df.agg((F.avg(value) + factor * F.stddev_pop(value)).alias("bound"))
 
 
-def prune(nodes: DataFrame, edges: DataFrame, min_frequency: int = 1, min_degree: int = 1, frequency_std: float | None = None, degree_std: float | None = None, min_weight_pct: float | None = None, remove_ego: bool = False) -> tuple[DataFrame, DataFrame]:
+def prune(nodes: DataFrame, edges: DataFrame, min_frequency: int = 1, min_degree: int = 1, frequency_std: float | None = None, degree_std: float | None = None, min_weight_pct: float | None = None, remove_ego: bool = False, largest_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after dropping the ego (greatest degree), rare and over-frequent nodes, and edges below a weight percentile.
 
-    Degrees are those before any removal; the frequency bound is taken after the degree steps.
+    Degrees are those before any removal; the frequency bound is taken after the degree steps. largest_only: of what is left only the
+    largest connected component stays.
     """
     d = nodes.join(degree_undirected(edges), "title", "left").fillna({"degree": 0})
     if remove_ego:
@@ -84,6 +88,12 @@ def prune(nodes: DataFrame, edges: DataFrame, min_frequency: int = 1, min_degree
     if min_weight_pct is not None:
         bound = e.agg(F.percentile("weight", min_weight_pct / 100).alias("bound"))
         e = e.crossJoin(F.broadcast(bound)).filter("weight >= bound").drop("bound")
+    if largest_only:
+        e = materialize(e, "pruned")
+        found = materialize(components(e), "components")
+        best = found.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+        stay = materialize(found.join(F.broadcast(best), "component", "left_semi").select("title"), "stay")
+        d, e = d.join(stay, "title", "left_semi"), e.join(stay.withColumnRenamed("title", "source"), "source", "left_semi")
     return d, e
 
 
@@ -124,71 +134,57 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return found.join(F.broadcast(best), "component", "left_semi").select("title")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """title, community: each node takes the label of greatest total weight among its neighbours (of equal ones the least), `rounds` times."""
-    e = edges.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.sum("weight").alias("weight"))
-    both = materialize(e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")), "edges")
-    labels = both.select(F.col("source").alias("title"), F.col("source").alias("community")).distinct()
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("title", "target"), "target").groupBy("source", "community").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("source").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("m"))
-        labels = materialize(best.select(F.col("source").alias("title"), F.col("m.community").alias("community")), "labels")
-    return labels
-
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 5, unreachable: int = 510, directed: bool = False) -> DataFrame:
+    """source, title, hops, path for each source and title of the graph, up to `most` hops; beyond that hops is `unreachable` and path NULL.
 
-def hierarchical_communities(edges: DataFrame, max_size: int = 10, levels: int = 3) -> DataFrame:
-    """level, community, parent, title: label propagation, then again inside every community with more than max_size members.
-
-    Stands for a hierarchical modularity clustering; membership depends only on the graph. Parents of level 0 are -1.
+    path lists the titles from source to title; of several shortest paths the least. One join a hop, for new nodes only. The result holds sources x titles rows,
+    so sources(title) must be a stated set; it is broadcast if counted small.
     """
-    inside, out, parents = edges, None, None
-    for level in range(levels):
-        found = label_propagation(inside, rounds=4 + level)
-        if parents is not None:
-            found = found.join(parents, "title")
-            found = found.withColumn("community", F.concat_ws("/", "parent_label", "community"))
-        else:
-            found = found.withColumn("parent_label", F.lit(None).cast("string"))
-        rows = materialize(found.select(F.lit(level).alias("level"), "community", F.col("parent_label").alias("parent"), "title"), "level")
-        out = rows if out is None else out.unionByName(rows)
-        big = rows.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") > max_size)
-        parents = rows.join(big, "community").select("title", F.col("community").alias("parent_label"))
-        if parents.isEmpty():
-            break
-        a = parents.select(F.col("title").alias("source"), F.col("parent_label").alias("_s"))
-        b = parents.select(F.col("title").alias("target"), F.col("parent_label").alias("_t"))
-        inside = materialize(edges.join(a, "source").join(b, "target").filter("_s = _t").select("source", "target", "weight"), "inside")
-        if inside.isEmpty():
-            break
-    # numbers in the order of level and least title
-    ids = numbered(out.groupBy("level", "community").agg(F.min("title").alias("_m")), ["level", "_m", "community"], "_id")
-    out = out.join(ids.select("level", "community", "_id"), ["level", "community"])
-    up = ids.select((F.col("level") + 1).alias("level"), F.col("community").alias("parent"), F.col("_id").alias("_up"))
-    return out.join(up, ["level", "parent"], "left").select("level", F.col("_id").alias("community"), F.coalesce("_up", F.lit(-1)).alias("parent"), "title")
-
-
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 5, unreachable: int = 510) -> DataFrame:
-    """source, title, hops for each title of the graph, up to `most` hops; beyond that `unreachable`. One join a hop, new nodes only."""
-    e = canonical_edges(edges)
-    both = materialize(e.unionAll(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "edges")
-    seen = sources.select(F.col("title").alias("root"), "title", F.lit(0).alias("hops"))
+    e = edges.filter("source IS NOT NULL AND target IS NOT NULL").select("source", "target")
+    both = materialize((e if directed else e.unionAll(e.select(F.col("target").alias("source"), F.col("source").alias("target")))).distinct(), "edges")
+    roots = small(sources.select(F.col("title").alias("root")).distinct())
+    seen = roots.select("root", F.col("root").alias("title"), F.lit(0).alias("hops"), F.array("root").alias("path"))
     front = seen
     for hop in range(1, most + 1):
-        step = front.join(both.select(F.col("source").alias("title"), F.col("target").alias("to")), "title").select("root", F.col("to").alias("title")).distinct()
-        front = materialize(step.join(seen, ["root", "title"], "left_anti").withColumn("hops", F.lit(hop)), "front")
+        step = front.join(both.select(F.col("source").alias("title"), F.col("target").alias("to")), "title").groupBy("root", F.col("to").alias("title")).agg(F.min("path").alias("path"))
+        step = step.join(seen.select("root", "title"), ["root", "title"], "left_anti")
+        front = materialize(step.select("root", "title", F.lit(hop).alias("hops"), F.concat("path", F.array("title")).alias("path")), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    every = both.select(F.col("source").alias("title")).distinct().crossJoin(F.broadcast(sources.select(F.col("title").alias("root"))))
-    return every.join(seen, ["root", "title"], "left").select(F.col("root").alias("source"), "title", F.coalesce("hops", F.lit(unreachable)).alias("hops"))
+    every = both.select(F.col("source").alias("title")).union(both.select("target")).distinct().crossJoin(roots)
+    return every.join(seen, ["root", "title"], "left").select(F.col("root").alias("source"), "title", F.coalesce("hops", F.lit(unreachable)).alias("hops"), "path")
 
 
-def chain_graph(roots: int, leaves: int, spark) -> DataFrame:
-    """source, target of the fixed topology: roots in a chain, leaf j of root i at roots + i x leaves + j."""
+GRAPH_TYPES = ("root_directed", "root_undirected", "root_fully_connected", "leaf_directed", "leaf_undirected", "leaf_connected_directed", "leaf_connected_undirected")
+
+
+def fixed_graph(kinds: list[str], roots: int, leaves: int, spark) -> DataFrame:
+    """source, target: directed edges of a fixed topology, the union of its kinds (of GRAPH_TYPES). Leaf j of root i is number roots + i x leaves + j.
+
+    Roots form a chain or are all connected, leaves hang on their roots, or neighbouring leaves of one root are connected; undirected edges are given both ways.
+    """
+    if unknown := set(kinds) - set(GRAPH_TYPES):
+        raise ValueError(f"unknown graph types {sorted(unknown)}")
     i = spark.range(roots).select(F.col("id").cast("int").alias("i"))
+    leaf = i.select("i", F.explode(F.sequence(F.lit(0), F.lit(leaves - 1))).alias("j")).withColumn("n", F.lit(roots) + F.col("i") * leaves + F.col("j")) if leaves else i.limit(0).select("i", F.lit(0).alias("j"), F.lit(0).alias("n"))
     chain = i.filter(F.col("i") < roots - 1).select(F.col("i").alias("source"), (F.col("i") + 1).alias("target"))
-    tufts = i.select("i", F.explode(F.sequence(F.lit(0), F.lit(leaves - 1))).alias("j")) if leaves else i.limit(0).select("i", F.lit(0).alias("j"))
-    return chain.unionByName(tufts.select(F.col("i").alias("source"), (F.lit(roots) + F.col("i") * leaves + F.col("j")).alias("target")))
+    tufts = leaf.select(F.col("i").alias("source"), F.col("n").alias("target"))
+    rows = leaf.filter(F.col("j") < leaves - 1).select(F.col("n").alias("source"), (F.col("n") + 1).alias("target"))
+    back = lambda e: e.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    full = i.crossJoin(i.select(F.col("i").alias("target"))).filter("i <> target").select(F.col("i").alias("source"), "target")
+    out = chain.limit(0)
+    for kind in kinds:
+        e = full if kind == "root_fully_connected" else {"root": chain, "leaf": tufts}[kind[:4]] if "connected" not in kind else rows
+        out = out.unionByName(e)
+        if kind.endswith("_undirected"):
+            out = out.unionByName(back(e))
+    return out.distinct()
+
+
+def chain_graph(roots: int, leaves: int, spark) -> DataFrame:
+    """source, target of the usual fixed topology: roots in a chain, each with its leaves."""
+    return fixed_graph(["root_directed", "leaf_directed"], roots, leaves, spark)
 
 
 def subset_communities(members: DataFrame) -> DataFrame:

@@ -22,3 +22,14 @@ def head_tail_split(df: DataFrame, order: list[str], percent: int) -> DataFrame:
     n = df.count()
     out = numbered(df, order, "_nr")
     return out.withColumn("split", F.when(F.col("_nr") < n * percent // 100, "validation").otherwise("train")).drop("_nr")
+
+
+def prefix_subset(df: DataFrame, order: list[str | Column], rows: int) -> DataFrame:
+    """The first rows in a total order (a limit on the sort, so no task sorts more than it keeps)."""
+    return df.orderBy(*order).limit(rows)
+
+
+def occurrence_ids(df: DataFrame, map_col: str, order: list[str], name: str = "occurrence") -> DataFrame:
+    """A row for each key of a map column, in the map's order, numbered through the whole table from 0."""
+    rows = df.select(*order, F.posexplode(F.map_keys(map_col)).alias("_at", "key"))
+    return numbered(rows, [*order, "_at"], name).drop("_at")

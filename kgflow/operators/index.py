@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -157,3 +157,51 @@ def override(found: DataFrame, manual: DataFrame) -> DataFrame:
     """Entities with type and description replaced where the manual table has the title, and the manual titles that are new."""
     m = manual.select("title", F.col("type").alias("_t"), F.col("description").alias("_d"))
     return found.select("title", "type", "description").join(m, "title", "full").select("title", F.coalesce("_t", "type").alias("type"), F.coalesce("_d", "description").alias("description"))
+
+
+def merge_graph_nodes(rows: DataFrame) -> DataFrame:
+    """title -> type (the last that isn't empty, by ord), descriptions (distinct, sorted), text_unit_ids: the merge of one extraction's nodes."""
+    return rows.filter("title IS NOT NULL").groupBy("title").agg(
+        F.max_by("type", F.when(F.coalesce("type", F.lit("")) != "", F.col("ord"))).alias("type"),
+        F.array_sort(F.collect_set(F.when(F.col("description") != "", F.col("description")))).alias("descriptions"), F.array_sort(F.collect_set("text_unit_id")).alias("text_unit_ids"),
+    )
+
+
+def merge_titles(parts: DataFrame, arrays: list[str], order: str) -> DataFrame:
+    """title -> the given array columns of all its rows put together, in order, repeats kept; the first type."""
+    joined = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("x")))), lambda r: r["x"])).alias(c) for c in arrays]
+    return parts.filter("title IS NOT NULL").groupBy("title").agg(F.min_by("type", order).alias("type"), *joined)
+
+
+def grouped_chunks(docs: DataFrame, group: list[str], order: str, size: int, overlap: int, text_col: str = "text") -> DataFrame:
+    """group, chunk_no, start, text, n_tokens: the texts of a group (a document of many rows, bounded) in order, joined by newlines, then chunked."""
+    whole = docs.filter(F.col(text_col).isNotNull()).groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text_col).alias("x")))), lambda r: r["x"]), "\n").alias("_text"))
+    key = F.struct(*group)
+    out = token_chunks(whole.select(key.alias("id"), F.col("_text").alias("text")), size, overlap)
+    return out.select(*[F.col(f"document_id.{g}").alias(g) for g in group], "chunk_no", "start", "text", "n_tokens")
+
+
+def context_lists(edges: DataFrame, members: DataFrame, budget: int) -> DataFrame:
+    """level, community, context: the rows (source, target, combined_degree) of a community's own edges by falling degree, at most `budget` of them."""
+    a, b = (members.select("level", "community", F.col("title").alias(c)) for c in ("source", "target"))
+    inside = edges.join(a, "source").join(b, ["level", "community", "target"])
+    order = Window.partitionBy("level", "community").orderBy(F.desc("combined_degree"), "source", "target")
+    kept = inside.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= budget)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("_n", "source", "target", "combined_degree"))), lambda r: F.concat_ws("|", r["source"], r["target"], r["combined_degree"].cast("string")))
+    return kept.groupBy("level", "community").agg(rows.alias("context"))
+
+
+def summary_packs(c: Column, budget: int) -> Column:
+    """Descriptions (sorted, distinct) packed in order into lists of at most `budget` tokens, for a summary that folds pack after pack: an array of arrays."""
+    size = lambda x: F.size(T.tokens(x))
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("used"))
+
+    def put(s: Column, x: Column) -> Column:
+        over = (s["used"] + size(x) > budget) & (F.size(s["now"]) > 0)
+        return F.struct(
+            F.when(over, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"), F.when(over, F.array(x)).otherwise(F.concat(s["now"], F.array(x))).alias("now"),
+            F.when(over, size(x)).otherwise(s["used"] + size(x)).alias("used"),
+        )
+
+    said = F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull() & (x != ""))))
+    return F.aggregate(said, start, put, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))

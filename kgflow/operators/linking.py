@@ -165,3 +165,40 @@ def offset_indexes(parts: dict[str, DataFrame], column: str) -> DataFrame:
         out = df if out is None else out.unionByName(df)
         start = out.agg((F.max(column) + 1).alias("_o"))
     return out
+
+
+def composed(left: DataFrame, right: DataFrame, key: list[str], attributes: list[str]) -> DataFrame:
+    """Union of two node or edge tables by key; where both hold a key, the right side's attributes win, also as NULL."""
+    r = right.select(*key, *[F.col(a).alias(f"_{a}") for a in attributes], F.lit(True).alias("_there"))
+    return left.select(*key, *attributes).join(r, key, "full").select(*key, *[F.when(F.col("_there"), F.col(f"_{a}")).otherwise(F.col(a)).alias(a) for a in attributes])
+
+
+def rolled_up(reports: DataFrame, members: DataFrame, level: int) -> DataFrame:
+    """Reports of the deepest community, up to a level, that each title lies in: the reports that together cover all titles once."""
+    deepest = members.filter(F.col("level") <= level).groupBy("title").agg(F.max(F.struct("level", "community")).alias("m")).select("m.community").distinct()
+    return reports.join(deepest, "community", "left_semi")
+
+
+def community_children(communities: DataFrame) -> DataFrame:
+    """community, children (sorted; empty for a leaf) of communities(community, parent)."""
+    kids = communities.filter("parent <> -1").groupBy(F.col("parent").alias("community")).agg(F.array_sort(F.collect_set("community")).alias("children"))
+    return communities.select("community").distinct().join(kids, "community", "left").withColumn("children", F.coalesce("children", F.array().cast("array<bigint>")))
+
+
+def candidate_rows(selected: DataFrame, relationships: DataFrame, covariates: DataFrame, units: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
+    """Everything that touches selected(title, text_unit_ids): relationships of either end, covariates by subject, text units, communities."""
+    s = selected.select("title").distinct()
+    ends = [relationships.join(s.withColumnRenamed("title", c), c, "left_semi") for c in ("source", "target")]
+    ids = selected.select(F.explode("text_unit_ids").alias("id")).distinct()
+    return {
+        "relationships": ends[0].unionByName(ends[1].join(s.withColumnRenamed("title", "source"), "source", "left_anti").select(*ends[0].columns)),
+        "covariates": covariates.join(s.withColumnRenamed("title", "subject_id"), "subject_id", "left_semi"),
+        "text_units": units.join(ids, "id", "left_semi"),
+        "communities": members.join(s, "title", "left_semi").select("level", "community").distinct(),
+    }
+
+
+def linked_context(context: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
+    """Context rows (short ids of a prompt) with the ids of the index rows they stand for: context(id, ..) over table(human_readable_id, ..)."""
+    link = table.select(F.col("human_readable_id").alias("id"), *[F.col(c).alias(f"index_{c}") for c in keep])
+    return context.join(link, "id", "left")

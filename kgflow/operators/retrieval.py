@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as T
+from ..session import materialize, small
 
 
 def vector_search(docs: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "embedding", metric: str = "cosine", ids: DataFrame | None = None) -> DataFrame:
@@ -24,17 +27,112 @@ def vector_search(docs: DataFrame, query: list[float], k: int, id_col: str = "id
     return df.select(id_col, F.round(1 - F.abs(distance), 6).alias("score")).filter("score IS NOT NULL").orderBy(F.desc("score"), id_col).limit(k)
 
 
-def batch_vector_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """qid, id, score, rank for many query vectors (qid, q) against docs (id, v): unit vectors, dot product, top k per query.
+def batch_vector_search(queries: DataFrame, docs: DataFrame, k: int, block: int = 2_000) -> DataFrame:
+    """qid, id, score, rank for many query vectors (qid, q) against docs (id, v): cosine rounded to six decimals, top k per query (of equal ones the smaller id).
 
-    Queries are a stated bounded set and are broadcast if small; the window keeps k rows a query and task before its shuffle.
+    Queries are a stated set, taken in blocks of `block` vectors that are sent to the tasks; a block reads docs once and each Arrow batch
+    gives its k best a query. NULL, zero and not finite vectors, and vectors of another size than the query's, take no part.
     """
-    from ..session import small
-
-    qs = queries.select("qid", A.normalized(F.col("q")).alias("q"))
-    ds = docs.filter("v IS NOT NULL").select("id", A.normalized(F.col("v")).alias("v"))
-    s = ds.join(small(qs, 2_000), F.size("q") == F.size("v")).select("qid", "id", F.round(A.dot(F.col("q"), F.col("v")), 6).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    spark, kinds = docs.sparkSession, (dict(queries.dtypes)["qid"], dict(docs.dtypes)["id"])
+    usable = lambda c: F.col(c).isNotNull() & F.exists(c, lambda x: x != 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    qs = queries.select("qid", F.col("q").cast("array<double>").alias("q")).filter(usable("q")).withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // block)))).cast("int"))
+    qs = materialize(qs, "queries")
+    rows = docs.select("id", F.col("v").cast("array<double>").alias("v")).filter(usable("v"))
+    out = spark.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, score double")
+    for b in sorted(r[0] for r in qs.select("_b").distinct().collect()):
+        some = qs.filter(F.col("_b") == b).collect()
+        sets = [([r.qid for r in some if len(r.q) == n], np.array([r.q for r in some if len(r.q) == n])) for n in sorted({len(r.q) for r in some})]
+        sent = spark.sparkContext.broadcast([(ids, q / np.linalg.norm(q, axis=1, keepdims=True)) for ids, q in sets])
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                size = pdf["v"].map(len).to_numpy() if len(pdf) else np.zeros(0)
+                for qids, q in sent.value:
+                    part = pdf[size == q.shape[1]].sort_values("id", kind="stable")
+                    if len(part):
+                        v = np.stack(list(part["v"]))
+                        score = np.round(q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
+                        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                        yield pd.DataFrame({"qid": np.repeat(np.array(qids, dtype=object), best.shape[1]), "id": part["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
+
+        out = out.unionByName(rows.mapInPandas(run, out.schema))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def ranked_candidates(candidates: DataFrame, left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """head, id, score, rank: the k best of each head's own candidates(head, id) by cosine of left(head, v) and right(id, v)."""
+    pairs = candidates.select("head", "id").distinct().join(left.select("head", F.col("v").alias("_x")), "head").join(right.select("id", F.col("v").alias("_y")), "id")
+    scored = pairs.select("head", "id", F.round(A.cosine(F.col("_x"), F.col("_y")), 6).alias("score")).filter("score IS NOT NULL")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+
+
+def grown_contexts(found: DataFrame, edges: DataFrame, entity_size: Column, edge_size: Column, max_tokens: int, top_k: int) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of the contexts of many queries at once, grown entity by entity; the last state that fits is kept.
+
+    found(qid, ord, title, ..): a query's entities in order; edges(source, target, combined_degree, ..). A query's entities enter while their sizes fit
+    max_tokens. With the first i entities come the relationships that lie among them and the best top_k x i with one end outside (by links of
+    that end to the i, then combined degree), as many as fit; a state whose entities and relationships together exceed max_tokens ends
+    the growth and the one before it stands. entities: qid, ord, title; relationships: qid, state (the i that stands), source, target, kind, nr.
+    All queries and states are one plan; found is a stated, small table (queries x entities of each).
+    """
+    f = found.withColumn("_size", entity_size).select("qid", "ord", "title", "_size")
+    used = F.sum("_size").over(Window.partitionBy("qid").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    f = materialize(f.withColumn("_used", used).withColumn("_i", F.row_number().over(Window.partitionBy("qid").orderBy("ord"))), "found")
+    entities = f.filter(F.col("_used") <= max_tokens).select("qid", "ord", "title")
+    head = f.groupBy("qid").agg(F.coalesce(F.max(F.when(F.col("_used") <= max_tokens, F.col("_used"))), F.lit(0)).alias("_e"), F.max("_i").alias("_k"))
+    e = edges.withColumn("_size", edge_size).select("source", "target", "combined_degree", "_size")
+    picked = small(f.select("qid", "title", "_i"))
+    touch = e.join(picked.select("qid", F.col("title").alias("source"), F.col("_i").alias("_s")), "source").withColumn("_t", F.lit(None).cast("int"))
+    touch = touch.unionByName(e.join(picked.select("qid", F.col("title").alias("target"), F.col("_i").alias("_t")), "target").withColumn("_s", F.lit(None).cast("int")))
+    ends = touch.groupBy("qid", "source", "target", "combined_degree", "_size").agg(F.min("_s").alias("_s"), F.min("_t").alias("_t")).join(small(head), "qid")
+    states = ends.withColumn("state", F.explode(F.sequence(F.least("_s", "_t"), F.col("_k"))))
+    has = [F.coalesce(F.col(c) <= F.col("state"), F.lit(False)) for c in ("_s", "_t")]
+    states = states.withColumn("kind", F.when(has[0] & has[1], "in").otherwise("out")).withColumn("_far", F.when(has[0] & has[1], None).when(has[0], F.col("target")).otherwise(F.col("source"))).withColumn("_near", F.when(has[0], F.col("source")).otherwise(F.col("target")))
+    links = states.filter("kind = 'out'").groupBy("qid", "state", "_far").agg(F.count_distinct("_near").alias("links"))
+    states = states.join(links, ["qid", "state", "_far"], "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    best = Window.partitionBy("qid", "state").orderBy("kind", F.desc("links"), F.desc("combined_degree"), "source", "target")
+    states = states.withColumn("nr", F.row_number().over(best)).withColumn("_in", F.sum(F.when(F.col("kind") == "in", 1).otherwise(0)).over(Window.partitionBy("qid", "state")))
+    states = states.filter((F.col("kind") == "in") | (F.col("nr") - F.col("_in") <= top_k * F.col("state")))
+    states = states.withColumn("_used", F.sum("_size").over(best.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_used") <= max_tokens)
+    states = materialize(states.select("qid", "state", "source", "target", "kind", "nr", "_used", "_e", "_k"), "states")
+    sums = states.groupBy("qid", "state", "_e").agg(F.max("_used").alias("_used"))
+    over = sums.filter(F.col("_e") + F.col("_used") > max_tokens).groupBy("qid").agg(F.min("state").alias("_over"))
+    last = head.join(over, "qid", "left").select("qid", F.coalesce(F.col("_over") - 1, F.col("_k")).alias("state"))
+    return entities, states.join(last, ["qid", "state"]).select("qid", "state", "source", "target", "kind", "nr")
+
+
+def conversation_context(turns: DataFrame, max_turns: int, budget: int, recent_first: bool = True) -> DataFrame:
+    """conv_id, nr, qa_turn, used: of qa_turns' pairs (conv_id, qa_turn, question, answers) the last max_turns, most recent first if asked, as many as fit the budget of tokens."""
+    recent = Window.partitionBy("conv_id").orderBy(F.desc("qa_turn"))
+    kept = turns.withColumn("_r", F.row_number().over(recent)).filter(F.col("_r") <= max_turns)
+    order = Window.partitionBy("conv_id").orderBy(F.desc("qa_turn") if recent_first else F.asc("qa_turn"))
+    size = F.size(T.tokens(F.coalesce("question", F.lit("")))) + F.size(T.tokens(F.array_join("answers", " ")))
+    out = kept.withColumn("nr", F.row_number().over(order)).withColumn("used", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.filter(F.col("used") <= budget).select("conv_id", "nr", "qa_turn", "used")
+
+
+def weighted_reports(reports: DataFrame, weights: DataFrame) -> DataFrame:
+    """Reports in the order of a global context: by weight(community, normalized), then rank, both falling; a missing weight is 0. nr counts from 1 inside a batch."""
+    out = reports.join(weights.select("community", F.col("normalized").alias("weight")), "community", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    return out.withColumn("nr", F.row_number().over(Window.partitionBy("batch").orderBy(F.desc("weight"), F.desc("rank"), "community")))
+
+
+def primer_folds(reports: DataFrame, vectors: DataFrame, query: list[float], k: int, folds: int) -> DataFrame:
+    """community, score, fold: the k reports nearest to the query, divided in order into `folds` runs, the first ones a row longer where k isn't divisible."""
+    near = vector_search(vectors, query, k, "community", "embedding").join(reports.select("community"), "community", "left_semi")
+    nr = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "community"))  # at most k rows
+    ranked = near.withColumn("nr", nr)
+    return ranked.crossJoin(ranked.agg(F.count("*").alias("_n"))).withColumn("fold", F.ntile(folds).over(Window.partitionBy("_n").orderBy("nr")) - 1).select("community", "score", "fold")
+
+
+def merged_primer(folds: DataFrame) -> DataFrame:
+    """One row: answer (of all folds in order, blank lines between), follow_ups (of all), score (mean over all folds, a missing one as minus infinity)."""
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("fold", F.col(c).alias("x")))), lambda r: r["x"])
+    return folds.agg(
+        F.array_join(F.filter(ordered("answer"), lambda x: x != ""), "\n\n").alias("answer"), F.flatten(F.filter(ordered("follow_ups"), lambda x: x.isNotNull())).alias("follow_ups"),
+        F.avg(F.coalesce("score", F.lit(float("-inf")))).alias("score"),
+    )
 
 
 def multi_index_search(parts: dict[str, DataFrame], query: list[float], k: int) -> DataFrame:
@@ -116,16 +214,17 @@ def community_weights(members: DataFrame, entities: DataFrame) -> DataFrame:
     return u.crossJoin(F.broadcast(top)).select("community", "weight", F.when(F.col("_m") > 0, F.col("weight") / F.col("_m")).otherwise(0.0).alias("normalized"))
 
 
-def report_batches(reports: DataFrame, order: list[str], size_col: str, budget: int, header: int = 0, single: bool = False, groups: int = 1) -> DataFrame:
+def report_batches(reports: DataFrame, order: list[str], size_col: str, budget: int, header: int = 0, single: bool = False, groups: int | None = None, seed: int | None = None) -> DataFrame:
     """Reports with batch: a sequential fold that opens a new batch when the next report would overflow the budget (with single, stops there).
 
-    A fold over one order can't be split; groups > 1 deals the reports to so many independent folds, as at scale they must be.
+    A fold over one order can't be split, so reports are dealt to independent folds: `groups` of them, or one for each 5,000 reports. With a
+    seed they come in a shuffled order that depends on it alone, else in that of `order`.
     """
-
+    groups = groups or max(1, reports.count() // 5_000)
     columns = [*reports.columns, "group", "batch"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values(["_o", *order], kind="stable")
         batch, used, out = 0, header, []
         for n in pdf[size_col]:
             if used + n > budget and used > header:
@@ -136,7 +235,7 @@ def report_batches(reports: DataFrame, order: list[str], size_col: str, budget:
         return (pdf[pdf["batch"] == 0] if single else pdf)[columns]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in reports.dtypes) + ", group int, batch int"
-    dealt = reports.withColumn("group", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
+    dealt = reports.withColumn("group", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int")).withColumn("_o", F.xxhash64(F.lit(seed), *order) if seed is not None else F.lit(0))
     return dealt.groupBy("group").applyInPandas(fold, schema)
 
 

@@ -25,6 +25,44 @@ COMMERCIAL_TAILS = ("gmail", "google maps", "instagram", "youtube")
 # Relations with too few triples.
 DROPPED_RELATIONS = ("manages", "controls", "maps_to", "decreases", "prevents", "measures", "mitigates", "routes_to")
 
+# Triples that are wrong or misleading.
+WRONG_TRIPLES = (
+    ("traceroute", "runs_on", "source host"),
+    ("router", "causes", "packet loss"),
+    ("packet", "increases", "delay"),
+    ("n", "increases", "distribution time"),
+    ("three-way tcp handshake", "mitigates", "playback attack"),
+    ("tcp fin segment", "enables", "truncation attack"),
+    ("hit rate", "measures", "web cache"),
+    ("source host", "measures", "round-trip delay"),
+    ("source host", "measures", "round-trip time"),
+    ("central ids processor", "receives", "ids sensor"),
+    ("packet switching", "enables", "secure voice"),
+)
+# Single triples about invented persons, and about products.
+FICTIONAL_TRIPLES = (("malicious host", "sends", "spam e-mail"),)
+COMMERCIAL_TRIPLES = (("web", "enables", "internet commerce"), ("web", "enables", "search"), ("web", "enables", "social network"))
+# Triples that repeat others in other words.
+DUPLICATE_TRIPLES = (
+    ("dns", "provides", "dns service"),
+    ("dns", "provides", "mapping"),
+    ("p2p architecture", "provides", "selfscalability"),
+    ("tcp", "implements", "slow-start"),
+    ("quic", "implements", "reliable data transfer service"),
+)
+# Fixed values: (head, relation, weaker tail, stronger tail).
+SUPERSEDED_TRIPLES = (
+    ("tcp", "provides", "reliable data transfer service", "reliable data transfer"),
+    ("tcp", "provides", "congestion-control mechanism", "congestion control"),
+    ("tcp", "provides", "connection-oriented service", "connection-oriented service"),
+    ("tcp", "implements", "congestion control algorithm", "congestion control"),
+    ("tcp", "implements", "tcp congestion-control algorithm", "congestion control"),
+    ("tcp", "implements", "end-to-end congestion control", "congestion control"),
+    ("tcp", "implements", "reliable data transfer service", "reliable data transfer"),
+    ("router", "forwards", "network-layer datagram", "ip datagram"),
+    ("router", "forwards", "datagram", "ip datagram"),
+)
+
 
 @dataclass
 class CleaningRules:
@@ -37,9 +75,11 @@ class CleaningRules:
     commercial_heads: tuple[str, ...] = COMMERCIAL_HEADS
     commercial_tails: tuple[str, ...] = COMMERCIAL_TAILS
     dropped_relations: tuple[str, ...] = DROPPED_RELATIONS
-    wrong: list[tuple[str, str, str]] = field(default_factory=list)
-    duplicates: list[tuple[str, str, str]] = field(default_factory=list)
-    superseded: list[tuple[str, str, str, str]] = field(default_factory=list)
+    wrong: list[tuple[str, str, str]] = field(default_factory=lambda: list(WRONG_TRIPLES))
+    fictional_triples: list[tuple[str, str, str]] = field(default_factory=lambda: list(FICTIONAL_TRIPLES))
+    commercial_triples: list[tuple[str, str, str]] = field(default_factory=lambda: list(COMMERCIAL_TRIPLES))
+    duplicates: list[tuple[str, str, str]] = field(default_factory=lambda: list(DUPLICATE_TRIPLES))
+    superseded: list[tuple[str, str, str, str]] = field(default_factory=lambda: list(SUPERSEDED_TRIPLES))
 
 
 def _among(rows: list[tuple[str, str, str]]) -> Column:
@@ -51,25 +91,28 @@ def _among(rows: list[tuple[str, str, str]]) -> Column:
 def cleaning_reasons(triples: DataFrame, order: list[str], group: list[str] = [], rules: CleaningRules | None = None) -> DataFrame:
     """triples with h, r, t (normalised) and reason (NULL if kept); the first rule that applies wins.
 
-    Rules: exact_duplicate (a later row, by `order`, of the same h, r, t in the group), trivial_isa, instance_specific, factually_wrong,
+    Rules: exact_duplicate (a later row, by `order`, which must be total, of the same h, r, t in the group), trivial_isa, instance_specific, factually_wrong,
     alice_bob, commercial, near_dupe, dropped_relation, and near_dupe again for a weaker tail whose stronger form is kept in the group.
     """
     rules = rules or CleaningRules()
     name = lambda c: T.rename_entity(T.normalize_entity(F.col(c)))
     df = triples.withColumns({"h": name("head"), "r": T.strip(F.col("relation_type")), "t": name("tail")})
-    nth = F.row_number().over(Window.partitionBy(*group, "h", "r", "t").orderBy(*order))
+    # the first of equal triples is found by aggregation: a hot one isn't sorted in one task
+    key = [*group, "h", "r", "t"]
+    first = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first")).withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(key)})
+    df = df.join(first, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]).drop(*[f"_k{i}" for i in range(len(key))])
     instance = lambda c: F.col(c).rlike(rules.instance_pattern) | F.col(c).isin(*rules.instance_names)
     reason = (
-        F.when(F.col("_nth") > 1, "exact_duplicate")
+        F.when(~F.struct(*order).eqNullSafe(F.col("_first")), "exact_duplicate")
         .when((F.col("r") == "is_a") & F.col("t").isin(*rules.trivial_tails), "trivial_isa")
         .when(instance("h") | instance("t"), "instance_specific")
         .when(_among(rules.wrong), "factually_wrong")
-        .when(F.col("h").isin(*rules.fictional) | F.col("t").isin(*rules.fictional), "alice_bob")
-        .when(F.col("h").isin(*rules.commercial_heads) | F.col("t").isin(*rules.commercial_tails), "commercial")
+        .when(F.col("h").isin(*rules.fictional) | F.col("t").isin(*rules.fictional) | _among(rules.fictional_triples), "alice_bob")
+        .when(F.col("h").isin(*rules.commercial_heads) | F.col("t").isin(*rules.commercial_tails) | _among(rules.commercial_triples), "commercial")
         .when(_among(rules.duplicates), "near_dupe")
         .when(F.col("r").isin(*rules.dropped_relations), "dropped_relation")
     )
-    df = df.withColumn("_nth", nth).withColumn("reason", reason).drop("_nth")
+    df = df.withColumn("reason", reason).drop("_first")
     return supersede(df, rules.superseded, group) if rules.superseded else df
 
 
@@ -210,11 +253,24 @@ def fuzzy_bridge(unmatched: DataFrame, discovered: DataFrame, least: float = 0.2
 
 
 def link_by_ngrams(heads: DataFrame, names: DataFrame, jaccard: float = 0.5, cosine: float = 0.7) -> DataFrame:
-    """head, name, jaccard, cosine: pairs above both thresholds (strictly), best Jaccard per head with ties. Candidates share a trigram."""
-    a = heads.select("head", T.ngram_set(F.lower("head")).alias("x")).distinct()
-    b = names.select("name", T.ngram_set(F.lower("name")).alias("y")).distinct()
-    shared = a.select("head", F.size("x").alias("n"), F.explode("x").alias("g")).join(b.select("name", F.size("y").alias("m"), F.explode("y").alias("g")), "g").groupBy("head", "name", "n", "m").agg(F.count("*").alias("c"))
-    scored = shared.select("head", "name", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("jaccard"), (F.col("c") / F.sqrt(F.col("n").cast("double") * F.col("m"))).alias("cosine"))
+    """head, name, jaccard, cosine: pairs above both thresholds (strictly) by their trigrams, best Jaccard per head with ties.
+
+    A pair over the Jaccard threshold shares one of the rarest n - ceil(jaccard x n) + 1 trigrams of either side, in one order of
+    rarity, so only those are joined and frequent trigrams hardly meet; the whole sets are then compared.
+    """
+    grams = lambda df, c: df.select(F.col(c).alias("s")).filter("s IS NOT NULL").distinct().withColumn("g", T.ngram_set(F.lower("s"), 3))
+    a, b = materialize(grams(heads, "head"), "grams"), materialize(grams(names, "name"), "grams")
+    rare = a.select(F.explode("g").alias("x")).unionAll(b.select(F.explode("g"))).groupBy("x").agg(F.count("*").alias("df"))
+    rare = materialize(rare, "grams")
+
+    def prefix(df: DataFrame) -> DataFrame:
+        order = df.select("s", F.explode("g").alias("x")).join(rare, "x").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
+        return order.select("s", F.explode(F.slice("o", 1, F.size("o") - F.ceil(F.lit(jaccard) * F.size("o")).cast("int") + 1)).alias("o")).select("s", F.col("o.x").alias("x"))
+
+    pairs = prefix(a).withColumnRenamed("s", "head").join(prefix(b).withColumnRenamed("s", "name"), "x").select("head", "name").distinct()
+    wide = pairs.join(a.select(F.col("s").alias("head"), F.col("g").alias("p")), "head").join(b.select(F.col("s").alias("name"), F.col("g").alias("q")), "name")
+    c, n, m = F.size(F.array_intersect("p", "q")), F.size("p"), F.size("q")
+    scored = wide.select("head", "name", (c / (n + m - c)).alias("jaccard"), (c / F.sqrt(n.cast("double") * m)).alias("cosine"))
     scored = scored.filter((F.col("jaccard") > jaccard) & (F.col("cosine") > cosine))
     return scored.withColumn("_r", F.rank().over(Window.partitionBy("head").orderBy(F.desc("jaccard")))).filter("_r = 1").drop("_r")
 

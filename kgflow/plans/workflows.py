@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, index, retrieval, update
+from ..operators.communities import hierarchical_communities
 from ..operators.ids import numbered
 from ..session import materialize
 
@@ -27,11 +29,8 @@ def noun_graph(t: Tables, **_) -> None:
     """Entities and relationships from noun phrases and their co-occurrence in text units."""
     m = t["text_units"].select(F.col("id").alias("text_unit_id"), F.explode(T.noun_phrases(F.col("text"))).alias("title"))
     m = materialize(m.distinct(), "mentions")
-    nodes, edges = graph.noun_nodes(m), graph.noun_edges(m)
-    t["entities"] = materialize(nodes.select("title", F.lit("NOUN PHRASE").alias("type"), "text_unit_ids", "frequency"), "entities")
-    both = m.select("text_unit_id", F.col("title").alias("source")).join(m.select("text_unit_id", F.col("title").alias("target")), "text_unit_id")
-    of = both.filter("source < target").groupBy("source", "target").agg(F.array_sort(F.collect_set("text_unit_id")).alias("text_unit_ids"))
-    t["relationships"] = materialize(edges.join(of, ["source", "target"]), "relationships")
+    t["entities"] = materialize(graph.noun_nodes(m).select("title", F.lit("NOUN PHRASE").alias("type"), "text_unit_ids", "frequency"), "entities")
+    t["relationships"] = materialize(graph.noun_edges(m), "relationships")
 
 
 def finalize(t: Tables, **_) -> None:
@@ -40,7 +39,7 @@ def finalize(t: Tables, **_) -> None:
 
 
 def communities(t: Tables, max_size: int = 10, period: str = "1970-01-01", **_) -> None:
-    t["members"] = materialize(graph.hierarchical_communities(t["relationships"], max_size), "members")
+    t["members"] = materialize(hierarchical_communities(t["relationships"], max_size), "members")
     t["communities"] = index.community_tables(t["members"], t["entities"], t["relationships"], period)
 
 
@@ -170,16 +169,96 @@ def global_search(t: Tables, answer: Callable[[F.Column], F.Column], budget: int
     return retrieval.key_points(texts.select(F.col("batch").alias("analyst"), answer(F.col("text")).alias("response")), budget)
 
 
-def drift_search(t: Tables, vectors: DataFrame, query: list[float], follow: Callable[[DataFrame], list[list[float]]], depth: int = 2, k: int = 5, **options) -> list[Tables]:
-    """Local searches for a query and for the follow-up query vectors that `follow` derives from each step's entities, `depth` steps deep."""
-    out, queue = [], [query]
+def batch_contexts(t: Tables, vectors: DataFrame, queries: DataFrame, k: int = 10, top_k_relationships: int = 10, max_tokens: int = 8000) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of the local contexts of a whole table of queries(qid, q), in one job: the k nearest entities of each by vectors(id, v), grown while they fit."""
+    near = retrieval.batch_vector_search(queries, vectors, k).join(t["entities"].select("id", "title"), "id").withColumn("ord", F.col("rank"))
+    size = lambda *c: F.greatest(F.size(T.tokens(T.delimited(list(c), " "))), F.lit(1))
+    return retrieval.grown_contexts(near, t["relationships"], size("title"), size("source", "target"), max_tokens, top_k_relationships)
+
+
+def multi_index_tables(indexes: dict[str, Tables]) -> Tables:
+    """Several indexes as one to search: titles, ids and communities carry the index's name or are numbered on, so nothing of different indexes meets."""
+    out: dict[str, list[DataFrame]] = {}
+    start = 0
+    for name in sorted(indexes):
+        t, end = indexes[name], f"-{name}"
+        mark = lambda c: F.concat(F.col(c).cast("string"), F.lit(end))  # noqa: B023, E731
+        marks = lambda c: F.transform(F.col(c), lambda x: F.concat(x, F.lit(end)))  # noqa: B023, E731
+        move = lambda c: F.when(F.col(c) == -1, -1).otherwise(F.col(c) + start).alias(c)  # noqa: B023, E731
+        parts = {
+            "entities": t["entities"].select(mark("id").alias("id"), mark("title").alias("title"), "type", "degree", marks("text_unit_ids").alias("text_unit_ids")),
+            "relationships": t["relationships"].select(mark("id").alias("id"), mark("source").alias("source"), mark("target").alias("target"), "combined_degree", marks("text_unit_ids").alias("text_unit_ids")),
+            "text_units": t["text_units"].select(mark("id").alias("id"), "text", "n_tokens"),
+            "members": t["members"].select("level", move("community"), move("parent"), mark("title").alias("title")),
+            "community_reports": t["community_reports"].select(move("community"), "level", move("parent"), "full_content", "rank"),
+        }
+        for n, df in parts.items():
+            out.setdefault(n, []).append(df.withColumn("index_name", F.lit(name)))
+        start += (t["members"].agg(F.max("community")).first()[0] or 0) + 1
+    return {n: functools.reduce(lambda a, b: a.unionByName(b), dfs) for n, dfs in out.items()}
+
+
+def report_levels(members: DataFrame) -> list[int]:
+    """Levels in the order in which reports are made: the deepest first."""
+    return [r.level for r in members.select("level").distinct().orderBy(F.desc("level")).collect()]
+
+
+class QueryState:
+    """The actions of a drift search as a graph: questions with answers, scores and follow-ups; driver state of a few dozen rows."""
+
+    def __init__(self):
+        self.actions: list[dict] = []
+        self.at: dict[str, int] = {}
+
+    def add(self, question: str, vector: list[float] | None = None, parent: str | None = None, **more) -> bool:
+        """False if the question is known already; it is then only linked."""
+        new = question not in self.at
+        if new:
+            self.at[question] = len(self.actions)
+            self.actions.append({"id": len(self.actions), "question": question, "vector": vector, "answer": None, "score": None, "parents": []} | more)
+        if parent is not None and self.at[parent] not in self.actions[self.at[question]]["parents"]:
+            self.actions[self.at[question]]["parents"].append(self.at[parent])
+        return new
+
+    def answer(self, question: str, answer, score: float | None) -> None:
+        self.actions[self.at[question]] |= {"answer": answer, "score": score}
+
+    def incomplete(self) -> list[dict]:
+        """Open actions, those of the greatest scores first, others in order of their arrival."""
+        open_ = [a for a in self.actions if a["answer"] is None]
+        return sorted(open_, key=lambda a: (-(a["score"] if a["score"] is not None else float("-inf")), a["id"]))
+
+    def tables(self, spark) -> tuple[DataFrame, DataFrame]:
+        """(nodes: id, question, score, done; edges: source, target) of the state."""
+        nodes = [(a["id"], a["question"], a["score"], a["answer"] is not None) for a in self.actions]
+        edges = [(p, a["id"]) for a in self.actions for p in a["parents"]]
+        return spark.createDataFrame(nodes, "id int, question string, score double, done boolean"), spark.createDataFrame(edges, "source int, target int")
+
+
+Follow = Callable[[str, Tables], tuple[object, float | None, list[tuple[str, list[float]]]]]
+
+
+def drift_search(t: Tables, vectors: DataFrame, question: str, query: list[float], follow: Follow, primer: Callable[[DataFrame], DataFrame] | None = None, report_vectors: DataFrame | None = None, depth: int = 3, follow_ups: int = 5, k: int = 5, folds: int = 5, **options) -> QueryState:
+    """A question is answered by local searches for it and for its follow-ups: at most `follow_ups` open actions, the best scored first, are searched in each of `depth` rounds.
+
+    follow(question, contexts) gives an answer, its score and new questions with their vectors; a question asked before isn't searched again, so the
+    work is bounded by depth x follow_ups searches. With primer and report_vectors(community, embedding), the nearest reports are divided into folds and
+    primer(folds) gives a row a fold (fold, answer, follow_ups array<struct<question,vector>>, score), whose merged follow-ups open the search.
+    """
+    state = QueryState()
+    state.add(question, query)
+    if primer is not None and report_vectors is not None:
+        first = retrieval.merged_primer(primer(retrieval.primer_folds(t["community_reports"], report_vectors, query, k * folds, folds))).first()
+        state.answer(question, first.answer, first.score)
+        for f in first.follow_ups:
+            state.add(f.question, list(f.vector), question)
     for _ in range(depth):
-        nxt: list[list[float]] = []
-        for q in queue:
-            found = local_search(t, q, vectors, k, **options)
-            out.append(found)
-            nxt += follow(found["entities"])
-        queue = nxt
-        if not queue:
+        todo = state.incomplete()[:follow_ups]
+        if not todo:
             break
-    return out
+        for a in todo:
+            answer, score, more = follow(a["question"], local_search(t, a["vector"], vectors, k, **options))
+            state.answer(a["question"], answer, score)
+            for q, v in more:
+                state.add(q, v, a["question"])
+    return state

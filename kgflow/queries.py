@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import arrays as A
 from .functions import text as T
-from .operators import evaluate, graph, ids, index, linking, retrieval, triples, update
-from .session import table
+from .operators import communities, evaluate, graph, ids, index, linking, retrieval, triples, update
+from .session import materialize, table
 from .sources import io
 from .streaming import incremental
 
@@ -204,17 +204,18 @@ def ngram_linking_ties(s: SparkSession, d: str) -> DataFrame:
     return triples.link_by_ngrams(loose, known.withColumnRenamed("entity", "name"), 0.4, 0.5).select("head", "name", F.round("jaccard", 6).alias("jaccard"), F.round("cosine", 6).alias("cosine"))
 
 
-_EXPAND = """p AS (SELECT 'u' || user_id AS head, event_type AS relation, 'w' || ((props->>'$.k')::int) AS token, 1 / (1 + value) AS prob FROM events),
-e AS (SELECT CASE WHEN i % 3 = 0 THEN 'w' || i ELSE 'w' || i || ' w' || (i % 7) END AS entity FROM range(100) t(i)), w AS (SELECT DISTINCT entity, unnest(string_split(entity, ' ')) AS token FROM e),
+_EXPAND = r"""q AS (SELECT triple_id, lower(head) AS head, relation_type AS relation, list_filter(regexp_split_to_array(lower(tail), '\s+'), lambda x: x <> '') AS t FROM validated_ch3 WHERE head IS NOT NULL AND relation_type IS NOT NULL AND tail IS NOT NULL),
+u AS (SELECT triple_id, head, relation, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM q), p AS (SELECT head, relation, token, max(1 / (1.0 + i)) AS prob FROM u GROUP BY ALL),
+e AS (SELECT DISTINCT lower(tail) AS entity FROM validated_ch3 WHERE tail IS NOT NULL), w AS (SELECT DISTINCT entity, unnest(list_filter(regexp_split_to_array(entity, '\s+'), lambda x: x <> '')) AS token FROM e),
 f AS (SELECT token, count(*) AS n FROM w GROUP BY 1),
 a AS (SELECT head, relation, entity AS tail, sum(ln(prob + 1e-12) / n) AS score, count(*) AS n_evidence, list_sort(list(DISTINCT token)) AS tokens FROM p JOIN f USING (token) JOIN w USING (token) GROUP BY ALL)"""
 
 
 def _expansion(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "events").select(F.concat(F.lit("u"), "user_id").alias("head"), F.col("event_type").alias("relation"), F.concat(F.lit("w"), F.get_json_object("props", "$.k")).alias("token"), (1 / (1 + F.col("value"))).alias("prob"))
-    i = F.col("id")
-    e = s.range(100).select(F.when(i % 3 == 0, F.concat(F.lit("w"), i)).otherwise(F.concat(F.lit("w"), i, F.lit(" w"), i % 7)).alias("entity"))
-    return triples.expansion_scores(p, e)
+    v = table(s, d, "validated_ch3").filter("tail IS NOT NULL")
+    p = v.filter("head IS NOT NULL AND relation_type IS NOT NULL").select(F.lower("head").alias("head"), F.col("relation_type").alias("relation"), F.posexplode(T.tokens(F.lower("tail"))).alias("i", "token"))
+    p = p.groupBy("head", "relation", "token").agg(F.max(1 / (2.0 + F.col("i"))).alias("prob"))
+    return triples.expansion_scores(p, v.select(F.lower("tail").alias("entity")).distinct())
 
 
 @query(f"WITH {_EXPAND} SELECT head, relation, tail, round(score, 6) AS score, n_evidence, tokens FROM a")
@@ -222,13 +223,13 @@ def kg_expansion_scores(s: SparkSession, d: str) -> DataFrame:
     return _expansion(s, d).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_EXPAND}, v AS (SELECT *, unnest(tokens) AS token FROM a WHERE head <> tail AND score >= -5 AND n_evidence >= 1 AND NOT (relation = 'click' AND tail = 'w0')),
-r AS (SELECT *, len(list_filter(string_split(tail, ' '), lambda x: x = token)) / len(string_split(tail, ' ')) AS density FROM v),
+@query(f"""WITH {_EXPAND}, v AS (SELECT *, unnest(tokens) AS token FROM a WHERE head <> tail AND score >= -5 AND n_evidence >= 1 AND NOT (relation = 'carries' AND tail < 'm')),
+r AS (SELECT *, len(list_filter(regexp_split_to_array(tail, '\\s+'), lambda x: x = token)) / len(list_filter(regexp_split_to_array(tail, '\\s+'), lambda x: x <> '')) AS density FROM v),
 b AS (SELECT DISTINCT head, relation, tail, score, n_evidence, array_to_string(tokens, ' | ') AS matched_tokens FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY head, relation, token ORDER BY density DESC, score DESC, tail) = 1))
 SELECT head, relation, tail, round(score, 6) AS score, n_evidence, matched_tokens FROM b QUALIFY row_number() OVER (PARTITION BY head, relation ORDER BY score DESC, tail) <= 20""")
 def kg_expansion_candidates(s: SparkSession, d: str) -> DataFrame:
     scores = _expansion(s, d)
-    known = scores.filter("relation = 'click' AND tail = 'w0'").select("head", "relation", "tail")
+    known = scores.filter("relation = 'carries' AND tail < 'm'").select("head", "relation", "tail")
     return triples.expansion_candidates(scores, known).withColumn("score", F.round("score", 6))
 
 
@@ -280,10 +281,17 @@ def answer_parsers(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", T.last_bracket(T.after_think(verdict)).alias("verdict"), T.boxed_choice(boxed).alias("boxed"), T.last_json_list(T.after_think(items)).alias("items"), T.tail_lines(lines).alias("lines"))
 
 
-@query(r"""SELECT row_id, trim(regexp_replace(lower(tail), '\s+', ' ', 'g')) AS raw, len(tail) AS n FROM seed_kg_ch2 WHERE tail IS NOT NULL AND trim(regexp_replace(tail, '\s+', ' ', 'g')) <> ''""")
-def head_variants_raw(s: SparkSession, d: str) -> DataFrame:
+_COLLAPSE = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+_DASHED = f"translate(lower(tail), '{T.TEXT_DASHES}', '{'-' * len(T.TEXT_DASHES)}')"
+
+
+@query(rf"""WITH a AS (SELECT row_id, {_COLLAPSE.format(c='lower(tail)')} AS raw, {_COLLAPSE.format(c=_DASHED)} AS base FROM seed_kg_ch2 WHERE tail IS NOT NULL), b AS (SELECT *, trim(regexp_replace(base, ' *[(\[].*?[)\]] *$', '')) AS bare FROM a),
+v AS (SELECT row_id, raw, [raw, base, bare, {', '.join(_COLLAPSE.format(c=f"regexp_replace({x}, ' *- *', '{y}', 'g')") for x in ('base', 'bare') for y in (' - ', '-'))},
+CASE WHEN base = '' THEN NULL WHEN NOT ends_with(base, 's') THEN base || 's' WHEN len(base) > 4 THEN base[:-2] END] AS v FROM b) SELECT row_id, raw, list_sort(list_distinct(list_filter(v, lambda x: x IS NOT NULL AND x <> ''))) AS variants FROM v WHERE raw <> ''""")
+def head_variants(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "seed_kg_ch2").filter(T.collapse(F.col("tail")) != "")
-    return t.select("row_id", F.element_at(T.head_variants(F.col("tail")), 1).alias("raw"), F.length("tail").alias("n"))
+    v = T.head_variants(F.col("tail"))
+    return t.select("row_id", F.element_at(v, 1).alias("raw"), F.array_sort(v).alias("variants"))
 
 
 @query("SELECT event_id, (props->>'$.k')::int AS k, event_type || '-' || (props->>'$.k') AS tag FROM events WHERE props IS NOT NULL")
@@ -351,10 +359,10 @@ def _mentions(s: SparkSession, d: str) -> DataFrame:
 
 
 _NOUN = f"""p AS ({_PAIRS}), m AS (SELECT DISTINCT * FROM (SELECT source AS title, triple_id AS u FROM p UNION ALL SELECT target, triple_id FROM p)),
-n AS (SELECT title, count(*) AS f FROM m GROUP BY 1), e AS (SELECT a.title AS source, b.title AS target, count(*) AS weight FROM m a JOIN m b ON a.u = b.u AND a.title < b.title GROUP BY ALL)"""
+n AS (SELECT title, count(*) AS f FROM m GROUP BY 1), e AS (SELECT a.title AS source, b.title AS target, count(*) AS weight, list_sort(list(a.u)) AS text_unit_ids FROM m a JOIN m b ON a.u = b.u AND a.title < b.title GROUP BY ALL)"""
 
 
-@query(f"""WITH {_NOUN} SELECT source, target, weight, round(log2((weight / (SELECT sum(weight) FROM e)) / ((x.f / (SELECT sum(f) FROM n)) * (y.f / (SELECT sum(f) FROM n)))), 6) AS pmi
+@query(f"""WITH {_NOUN} SELECT source, target, weight, text_unit_ids, round(log2((weight / (SELECT sum(weight) FROM e)) / ((x.f / (SELECT sum(f) FROM n)) * (y.f / (SELECT sum(f) FROM n)))), 6) AS pmi
 FROM e JOIN n x ON x.title = source JOIN n y ON y.title = target""")
 def noun_graph_edges_pmi(s: SparkSession, d: str) -> DataFrame:
     return graph.noun_edges(_mentions(s, d)).withColumn("pmi", F.round("pmi", 6))
@@ -410,17 +418,53 @@ def largest_component(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT 0 AS source, CASE WHEN t < 16 THEN t ELSE 16 + (t - 16) END AS title, CASE WHEN t < 16 THEN t ELSE (t - 16) // 3 + 1 END AS hops FROM range(64) x(t)")
 def chain_graph_paths(s: SparkSession, d: str) -> DataFrame:
     e = graph.chain_graph(16, 3, s)
-    return graph.shortest_paths(e, s.range(1).select(F.col("id").cast("int").alias("title")), most=20)
+    return graph.shortest_paths(e, s.range(1).select(F.col("id").cast("int").alias("title")), most=20).drop("path")
 
 
-@query()
-def label_propagation(s: SparkSession, d: str) -> DataFrame:
-    return graph.label_propagation(_pairs(s, d).select("source", "target", F.lit(1.0).alias("weight")))
+@query("""WITH g AS (SELECT c_custkey // 8 AS g, 'c' || lpad(c_custkey::varchar, 12, '0') AS title, count(*) OVER (PARTITION BY c_custkey // 8) AS n FROM customer)
+SELECT title, min(title) OVER (PARTITION BY g) AS community FROM g WHERE n > 1""")
+def planted_communities(s: SparkSession, d: str) -> DataFrame:
+    """Customers in groups of eight, all of a group linked: every group is one community."""
+    c = table(s, d, "customer").select(F.floor(F.col("c_custkey") / 8).alias("g"), F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("t"))
+    e = c.withColumnRenamed("t", "source").join(c.withColumnRenamed("t", "target"), "g").filter("source < target").select("source", "target", F.lit(1.0).alias("weight"))
+    return communities.modular(communities.weighted_edges(e))
+
+
+def _links(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(s, d).select("source", "target", F.lit(1.0).alias("weight"))
 
 
 @query()
 def hierarchical_communities(s: SparkSession, d: str) -> DataFrame:
-    return graph.hierarchical_communities(_pairs(s, d).select("source", "target", F.lit(1.0).alias("weight")), 40, 2)
+    return communities.hierarchical_communities(_links(s, d), 40)
+
+
+@query(f"""SELECT count(DISTINCT t) AS titles, 0 AS repeated, 0 AS missing, 0 AS astray, 0 AS torn, true AS better FROM (SELECT source AS t FROM ({_PAIRS}) WHERE source <> target UNION ALL SELECT target FROM ({_PAIRS}) WHERE source <> target)""")
+def community_checks(s: SparkSession, d: str) -> DataFrame:
+    """What holds of hierarchical_communities: every title once a level and in level 0, children inside one parent, communities connected, modularity above that of the components."""
+    e = communities.weighted_edges(_links(s, d))
+    m = materialize(communities.hierarchical_communities(e, 40), "members")
+    titles = e.select(F.col("source").alias("title")).union(e.select("target")).distinct()
+    repeated = m.groupBy("level", "title").count().filter("count > 1").agg(F.count("*").alias("repeated"))
+    missing = titles.join(m.filter("level = 0"), "title", "left_anti").agg(F.count("*").alias("missing"))
+    up = m.select((F.col("level") + 1).alias("level"), F.col("community").alias("parent"), "title", F.lit(True).alias("there"))
+    astray = m.filter("level > 0").join(up, ["level", "parent", "title"], "left").agg(F.count(F.when(F.col("there").isNull(), 1)).alias("astray"))
+    zero = m.filter("level = 0").select("title", "community")
+    inside = e.join(zero.withColumnsRenamed({"title": "source", "community": "a"}), "source").join(zero.withColumnsRenamed({"title": "target", "community": "b"}), "target").filter("a = b")
+    parts = graph.components(inside.select("source", "target")).join(zero, "title").groupBy("community").agg(F.count_distinct("component").alias("n"), F.count("*").alias("size"))
+    torn = zero.groupBy("community").agg(F.count("*").alias("all")).join(parts, "community", "left").agg(F.count(F.when((F.col("all") > 1) & ((F.coalesce("n", F.lit(0)) != 1) | (F.col("size") != F.col("all"))), 1)).alias("torn"))
+    whole = communities.modularity(e, graph.components(e).select("title", F.col("component").alias("community"))).withColumnRenamed("modularity", "least")
+    better = communities.modularity(e, zero).crossJoin(whole).select((F.col("modularity") >= F.col("least")).alias("better"))
+    return titles.agg(F.count("*").alias("titles")).crossJoin(repeated).crossJoin(missing).crossJoin(astray).crossJoin(torn).crossJoin(better)
+
+
+@query(f"""WITH e AS (SELECT least(source, target) AS s, greatest(source, target) AS t, count(*)::double AS w FROM ({_PAIRS}) WHERE source <> target GROUP BY ALL), x AS (SELECT len(s) % 7 AS a, len(t) % 7 AS b, w FROM e),
+i AS (SELECT a AS c, sum(w) AS w FROM x WHERE a = b GROUP BY 1), k AS (SELECT c, sum(w) AS k FROM (SELECT a AS c, w FROM x UNION ALL SELECT b, w FROM x) GROUP BY 1), m AS (SELECT sum(w) AS m FROM e)
+SELECT round(sum(coalesce(i.w, 0) / m - pow(k / (2 * m), 2)), 6) AS modularity FROM k LEFT JOIN i USING (c), m""")
+def modularity(s: SparkSession, d: str) -> DataFrame:
+    e = _links(s, d)
+    members = e.select(F.col("source").alias("title")).union(e.select("target")).distinct().withColumn("community", F.length("title") % 7)
+    return communities.modularity(e, members).select(F.round("modularity", 6).alias("modularity"))
 
 
 def _places(s: SparkSession, d: str) -> DataFrame:
@@ -533,10 +577,12 @@ def token_budget_context(s: SparkSession, d: str) -> DataFrame:
     return retrieval.within_budget(t, ["suite"], [F.desc("n"), "item_id"], F.col("n"), 2000)
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT item_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n, row_number() OVER (ORDER BY item_id) AS k FROM eval_items WHERE text IS NOT NULL),
+f AS (SELECT item_id, n, k, 0 AS batch, n AS used FROM t WHERE k = 1 UNION ALL SELECT t.item_id, t.n, t.k, CASE WHEN used + t.n > 1000 AND used > 0 THEN batch + 1 ELSE batch END, CASE WHEN used + t.n > 1000 AND used > 0 THEN t.n ELSE used + t.n END FROM f JOIN t ON t.k = f.k + 1)
+SELECT item_id, n, 0 AS "group", batch FROM f""")
 def report_batches(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "eval_items").select("item_id", F.size(T.tokens(F.col("text"))).alias("n"))
-    return retrieval.report_batches(t, ["item_id"], "n", 1000, groups=4)
+    t = table(s, d, "eval_items").filter("text IS NOT NULL").select("item_id", F.size(T.tokens(F.col("text"))).alias("n"))
+    return retrieval.report_batches(t, ["item_id"], "n", 1000)
 
 
 @query("""WITH p AS (SELECT event_id AS analyst, event_type AS answer, round(value - 5, 2) AS score FROM events WHERE round(value - 5, 2) > 0), o AS (SELECT *, sum(1) OVER (ORDER BY score DESC, analyst, answer ROWS UNBOUNDED PRECEDING) AS used FROM p) SELECT analyst, answer, score, used FROM o WHERE used <= 40""")
@@ -589,33 +635,51 @@ def user_sessions(s: SparkSession, d: str) -> DataFrame:
     return incremental.sessions(table(s, d, "events"), "30 minutes").withColumns({c: F.col(c).cast("timestamp") for c in ("start", "end")})
 
 
-@query("""SELECT upper(head) AS title, count(*) AS records, list_sort(list(DISTINCT triple_id)) AS text_unit_ids FROM validated_ch3 WHERE head IS NOT NULL AND tail IS NOT NULL AND relation_type IS NOT NULL AND trim(head) <> '' AND NOT regexp_matches(head || tail || relation_type, '["<>()#&]') AND NOT regexp_matches(head || tail || relation_type, '^\\s|\\s$') GROUP BY 1""")
-def extraction_record_parse(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "validated_ch3").filter("head IS NOT NULL AND tail IS NOT NULL AND relation_type IS NOT NULL AND trim(head) <> ''")
-    t = t.filter(~F.concat("head", "tail", "relation_type").rlike('["<>()#&]') & ~F.concat("head", "tail", "relation_type").rlike(r"(?U)^\s|\s$"))
+_FIELD = r"""upper(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'), '[\x00-\x1f\x7f-\x9f]', '', 'g'), '^"|"$', '', 'g'))"""
+_SAID = "FROM validated_ch3 WHERE head IS NOT NULL AND tail IS NOT NULL AND relation_type IS NOT NULL AND NOT contains(head || tail || relation_type, '##') AND NOT contains(head || tail || relation_type, '<|>')"
+
+
+def _responses(s: SparkSession, d: str) -> DataFrame:
+    """Extraction answers over the fields as they stand, with whatever quotes, brackets and blanks they have; only the marks of the format itself aren't quotable."""
+    t = table(s, d, "validated_ch3").filter("head IS NOT NULL AND tail IS NOT NULL AND relation_type IS NOT NULL AND NOT contains(concat(head, tail, relation_type), '##') AND NOT contains(concat(head, tail, relation_type), '<|>')")
     text = F.concat(F.lit('("entity"<|>'), "head", F.lit("<|>THING<|>about "), "tail", F.lit(')##\n("relationship"<|>'), "head", F.lit("<|>"), "tail", F.lit("<|>"), "relation_type", F.lit("<|>2.5)"))
-    ents, _ = index.parse_extractions(t.select(F.col("triple_id").alias("text_unit_id"), text.alias("response")))
-    m = index.merge_entities(ents)
+    return t.select(F.col("triple_id").alias("text_unit_id"), text.alias("response"))
+
+
+@query(f"SELECT {_FIELD.format(c='head')} AS title, count(*) AS records, list_sort(list(DISTINCT triple_id)) AS text_unit_ids {_SAID} GROUP BY 1")
+def extraction_record_parse(s: SparkSession, d: str) -> DataFrame:
+    m = index.merge_entities(index.parse_extractions(_responses(s, d))[0])
     return m.select("title", F.size("descriptions").cast("long").alias("records"), "text_unit_ids")
 
 
+@query(f"SELECT {_FIELD.format(c='head')} AS source, {_FIELD.format(c='tail')} AS target, count(*) AS records, sum(2.5::double) AS weight, list_sort(list(DISTINCT triple_id)) AS text_unit_ids {_SAID} GROUP BY ALL")
+def extraction_relationships(s: SparkSession, d: str) -> DataFrame:
+    m = index.merge_relationships(index.parse_extractions(_responses(s, d))[1])
+    return m.select("source", "target", F.size("descriptions").cast("long").alias("records"), "weight", "text_unit_ids")
+
+
 @query("""SELECT o_orderkey AS text_unit_id, 'C' || o_custkey AS subject_id, o_orderstatus AS status, o_orderpriority AS description, NULL::varchar AS source_text FROM orders""")
 def claim_parse(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("text_unit_id"), F.concat(F.lit("(C"), "o_custkey", F.lit("<|>NONE<|>ORDER<|>"), "o_orderstatus", F.lit("<|>2024<|>2024<|>"), "o_orderpriority", F.lit(")")).alias("response"))
     return index.parse_claims(o).select("text_unit_id", "subject_id", "status", "description", "source_text")
 
 
-@query("SELECT text_chunks.id, list_sort(list(DISTINCT row_id) FILTER (row_id IS NOT NULL)) AS entity_ids FROM text_chunks LEFT JOIN seed_kg_ch2 ON chunk_id = text_chunks.id GROUP BY 1")
+@query("""WITH e AS (SELECT chunk_id AS id, list_sort(list(DISTINCT row_id)) AS entity_ids FROM seed_kg_ch2 WHERE chunk_id IS NOT NULL GROUP BY 1), r AS (SELECT id, list_sort(list(DISTINCT relation_type)) AS relationship_ids FROM injections_ch5 WHERE relation_type IS NOT NULL AND id IS NOT NULL GROUP BY 1),
+c AS (SELECT chunk_id AS id, list_sort(list(DISTINCT row_id % 1000)) AS covariate_ids FROM seed_kg_ch2 WHERE chunk_id IS NOT NULL AND relation_type = 'is_a' GROUP BY 1)
+SELECT id, row_number() OVER (ORDER BY id) AS human_readable_id, entity_ids, relationship_ids, covariate_ids FROM (SELECT id FROM text_chunks) LEFT JOIN e USING (id) LEFT JOIN r USING (id) LEFT JOIN c USING (id)""")
 def final_text_units(s: SparkSession, d: str) -> DataFrame:
     u = table(s, d, "text_chunks").select("id")
-    e = table(s, d, "seed_kg_ch2").filter("chunk_id IS NOT NULL").select(F.col("row_id").alias("id"), F.array("chunk_id").alias("text_unit_ids"))
-    return index.final_text_units(u, e, e.limit(0)).select("id", "entity_ids")
+    seed = table(s, d, "seed_kg_ch2").filter("chunk_id IS NOT NULL")
+    e = seed.select(F.col("row_id").alias("id"), F.array("chunk_id").alias("text_unit_ids"))
+    r = table(s, d, "injections_ch5").filter("relation_type IS NOT NULL AND id IS NOT NULL").select(F.col("relation_type"), "id").distinct().select(F.col("relation_type").alias("id"), F.array("id").alias("text_unit_ids"))
+    c = seed.filter("relation_type = 'is_a'").select((F.col("row_id") % 1000).alias("id"), F.col("chunk_id").alias("text_unit_id"))
+    return index.final_text_units(u, e, r, c).select("id", "human_readable_id", "entity_ids", "relationship_ids", "covariate_ids")
 
 
-@query("SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS human_readable_id, CASE WHEN doc_id % 2 = 0 THEN ['u' || doc_id] ELSE [] END AS text_unit_ids FROM documents")
+@query(r"""WITH t AS (SELECT doc_id AS id, coalesce(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')), 0) AS n FROM documents) SELECT id, row_number() OVER (ORDER BY id) AS human_readable_id, ceil(n / 80)::bigint AS units FROM t""")
 def final_documents(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "documents").select(F.col("doc_id").alias("id"))
-    return index.final_documents(t, t.filter("id % 2 = 0").select(F.concat(F.lit("u"), "id").alias("id"), F.array("id").alias("document_ids")))
+    t = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return index.final_documents(t.select("id"), index.base_text_units(t, 100, 20)).select("id", "human_readable_id", F.size("text_unit_ids").cast("long").alias("units"))
 
 
 @query("SELECT p_partkey, ['first ' || p_name, 'second'] AS paragraphs FROM part")
@@ -635,14 +699,14 @@ def font_inventory(s: SparkSession, d: str) -> DataFrame:
 def _vocabulary(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(relations, names): orders as relations between customers (concepts) and orders (atoms)."""
     o = table(s, d, "orders")
-    rel = o.select((F.col("o_custkey") % 50).cast("string").alias("CUI1"), F.col("o_orderkey").cast("string").alias("AUI1"), (F.col("o_orderkey") % 60).cast("string").alias("CUI2"), F.lit("none").alias("AUI2"), F.col("o_orderstatus").alias("RELA"), F.col("o_orderpriority").alias("SAB"))
-    c = table(s, d, "customer").filter("c_custkey < 55")
+    rel = o.select(F.col("o_custkey").cast("string").alias("CUI1"), F.col("o_orderkey").cast("string").alias("AUI1"), F.floor(F.col("o_orderkey") / 10).cast("string").alias("CUI2"), F.lit("none").alias("AUI2"), F.col("o_orderstatus").alias("RELA"), F.col("o_orderpriority").alias("SAB"))
+    c = table(s, d, "customer")
     names = c.select(F.col("c_custkey").cast("string").alias("CUI"), (F.col("c_custkey") * 3).cast("string").alias("AUI"), F.col("c_name").alias("NAME"))
     return rel, names
 
 
-_VOC = """r AS (SELECT (o_custkey % 50)::varchar AS c1, o_orderkey::varchar AS a1, (o_orderkey % 60)::varchar AS c2, 'none' AS a2, o_orderstatus AS rela, o_orderpriority AS sab FROM orders),
-n AS (SELECT c_custkey::varchar AS cui, (c_custkey * 3)::varchar AS aui, c_name AS name FROM customer WHERE c_custkey < 55), k AS (SELECT * FROM r WHERE c1 <> c2 AND sab IN ('1-URGENT', '2-HIGH') AND c2 IN (SELECT cui FROM n)),
+_VOC = """r AS (SELECT o_custkey::varchar AS c1, o_orderkey::varchar AS a1, (o_orderkey // 10)::varchar AS c2, 'none' AS a2, o_orderstatus AS rela, o_orderpriority AS sab FROM orders),
+n AS (SELECT c_custkey::varchar AS cui, (c_custkey * 3)::varchar AS aui, c_name AS name FROM customer), k AS (SELECT * FROM r WHERE c1 <> c2 AND sab IN ('1-URGENT', '2-HIGH') AND c2 IN (SELECT cui FROM n)),
 t AS (SELECT k.*, coalesce(x.name, y.name) AS name1, z.name AS name2 FROM k LEFT JOIN n x ON x.aui = a1 LEFT JOIN n y ON y.cui = c1 LEFT JOIN n z ON z.cui = c2)"""
 
 
@@ -753,11 +817,11 @@ def score_distribution(s: SparkSession, d: str) -> DataFrame:
 
 _LISTS = {
     "kg_expansion_scores": ["tokens"], "answer_parsers": ["items", "lines"], "noun_graph_nodes": ["text_unit_ids"], "community_tables": ["entity_ids", "relationship_ids"],
-    "conversation_qa_turns": ["answers"], "entity_upsert": ["text_unit_ids"], "extraction_record_parse": ["text_unit_ids"], "final_text_units": ["entity_ids"],
-    "final_documents": ["text_unit_ids"], "page_text_extract": ["paragraphs"], "assigned_communities": ["communities"],
+    "conversation_qa_turns": ["answers"], "entity_upsert": ["text_unit_ids"], "extraction_record_parse": ["text_unit_ids"], "extraction_relationships": ["text_unit_ids"],
+    "final_text_units": ["entity_ids", "relationship_ids", "covariate_ids"], "head_variants": ["variants"], "noun_graph_edges_pmi": ["text_unit_ids"], "page_text_extract": ["paragraphs"], "assigned_communities": ["communities"],
 }
 _WHOLE = {
-    "relation_by_split_cube": "margin", "fuzzy_bridge_topk": "rank", "head_variants_raw": "n", "leaf_scatter": "slot", "token_chunks_overlap": "chunk_no start n_tokens", "word_windows": "chunk_no n_tokens",
+    "relation_by_split_cube": "margin", "fuzzy_bridge_topk": "rank", "noun_graph_edges_pmi": "weight", "report_batches": "n group batch", "leaf_scatter": "slot", "token_chunks_overlap": "chunk_no start n_tokens", "word_windows": "chunk_no n_tokens",
     "chain_graph_paths": "source title hops", "community_hierarchy_subset": "level community sub_community sub_size", "community_tables": "community size", "community_weights": "community",
     "dynamic_community_selection": "community level", "mean_vectors": "dim", "batch_vector_search": "rank", "token_budget_context": "n used", "global_key_points": "used", "conversation_qa_turns": "qa_turn",
     "font_inventory": "words size", "text_unit_context": "degree used", "multi_index_offsets": "original community", "community_offset_merge": "community parent",
@@ -773,9 +837,12 @@ def _plain(name: str, lists: list[str], whole: list[str]) -> None:
 
     run.__name__ = name
     QUERIES[name] = run
-    swap = [f"array_to_string({c}::VARCHAR[], ',') AS {c}" for c in lists] + [f"{c}::BIGINT AS {c}" for c in whole]
+    swap = [f"array_to_string({c}::VARCHAR[], ',') AS {c}" for c in lists] + [f'"{c}"::BIGINT AS "{c}"' for c in whole]
     ORACLE[name] = f"SELECT * REPLACE ({', '.join(swap)}) FROM ({ORACLE[name]})"
 
 
 for _name in sorted({*_LISTS, *_WHOLE}):
     _plain(_name, _LISTS.get(_name, []), _WHOLE.get(_name, "").split())
+
+
+from . import queries_index  # noqa: E402, F401  (registers its queries here)

@@ -28,9 +28,11 @@ def build_session(name: str = "kgflow", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset in local mode (tests) a temporary one. On a cluster it must be set."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="kgflow-shared-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_id
@@ -135,15 +136,185 @@ def cached(requests: DataFrame, cache: DataFrame, key: str = "key") -> tuple[Dat
     return requests.join(cache, key), requests.join(cache.select(key), key, "left_anti")
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A GraphML file's node and edge elements as text parts between a header and a footer part; written by the executors."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    n = nodes.select(F.concat(F.lit('<node id="'), esc("title"), F.lit('"/>')).alias("value"))
-    e = edges.select(F.concat(F.lit('<edge source="'), esc("source"), F.lit('" target="'), esc("target"), F.lit('"/>')).alias("value"))
-    head = nodes.sparkSession.createDataFrame([("0", '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="undirected">')], "part string, value string")
-    foot = nodes.sparkSession.createDataFrame([("3", "</graph></graphml>")], "part string, value string")
-    rows = head.unionByName(n.withColumn("part", F.lit("1"))).unionByName(e.withColumn("part", F.lit("2"))).unionByName(foot)
-    rows.write.mode("overwrite").partitionBy("part").text(path)
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_attributes: list[str] = [], edge_attributes: list[str] = []) -> None:
+    """One GraphML file at `path` with the attributes given (numbers as double, all else as string); NULL attributes are left out.
+
+    Executors write the elements as text parts; the file system then puts header, parts and footer together, so no table passes through the driver's memory.
+    """
+    spark = nodes.sparkSession
+
+    def esc(c: Column) -> Column:
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    def data(prefix: str, names: list[str]) -> Column:
+        return F.concat(F.lit(""), *[F.coalesce(F.concat(F.lit(f'<data key="{prefix}{i}">'), esc(F.col(n).cast("string")), F.lit("</data>")), F.lit("")) for i, n in enumerate(names)])
+
+    def keys_of(df: DataFrame, prefix: str, what: str, names: list[str]) -> str:
+        kind = lambda n: "string" if dict(df.dtypes)[n] == "string" else "double"
+        return "".join(f'<key id="{prefix}{i}" for="{what}" attr.name="{n}" attr.type="{kind(n)}"/>' for i, n in enumerate(names))
+
+    n = nodes.filter("title IS NOT NULL").select(F.concat(F.lit('<node id="'), esc(F.col("title")), F.lit('">'), data("n", node_attributes), F.lit("</node>")).alias("value"))
+    e = edges.filter("source IS NOT NULL AND target IS NOT NULL").select(F.concat(F.lit('<edge source="'), esc(F.col("source")), F.lit('" target="'), esc(F.col("target")), F.lit('">'), data("e", edge_attributes), F.lit("</edge>")).alias("value"))
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + keys_of(nodes, "n", "node", node_attributes) + keys_of(edges, "e", "edge", edge_attributes) + '<graph edgedefault="undirected">\n'
+    fs, target = _fs(spark, path)
+    out = fs.create(target, True)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out.write(bytearray(head.encode()))
+    for no, part in enumerate((n, e)):
+        folder = f"{path}._parts{no}"
+        part.write.mode("overwrite").text(folder)
+        f, p = _fs(spark, folder)
+        for status in sorted(f.listStatus(p), key=lambda x: x.getPath().getName()):
+            if status.getPath().getName().startswith("part-"):
+                from_ = f.open(status.getPath())
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(from_, out, conf, False)
+                from_.close()
+        f.delete(p, True)
+    out.write(bytearray(b"</graph></graphml>\n"))
+    out.close()
+
+
+class Storage:
+    """Texts by key under a folder of any Hadoop file system: get, set, has, delete, clear, keys, find, child."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _at(self, key: str) -> str:
+        if ".." in key.split("/"):
+            raise ValueError(f"key {key!r} leads out of the storage")
+        return f"{self.root}/{key}"
+
+    def has(self, key: str) -> bool:
+        return exists(self.spark, self._at(key))
+
+    def get(self, key: str) -> str | None:
+        if not self.has(key):
+            return None
+        fs, p = _fs(self.spark, self._at(key))
+        stream = fs.open(p)
+        try:
+            return bytes(self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def set(self, key: str, value: str) -> None:
+        fs, p = _fs(self.spark, self._at(key))
+        out = fs.create(p, True)
+        out.write(bytearray(value.encode()))
+        out.close()
+
+    def delete(self, key: str) -> None:
+        delete(self.spark, self._at(key))
+
+    def clear(self) -> None:
+        delete(self.spark, self.root)
+
+    def keys(self) -> list[str]:
+        return keys(self.spark, self.root)
+
+    def find(self, pattern: str, where: dict[str, str] = {}) -> list[tuple[str, dict[str, str]]]:
+        """(key, named groups) of the keys that match, as far as each group in `where` matches its own pattern."""
+        found = [(k, m.groupdict()) for k in self.keys() if (m := re.search(pattern, k))]
+        return [(k, g) for k, g in found if all(re.search(p, g.get(n) or "") for n, p in where.items())]
+
+    def child(self, name: str) -> Storage:
+        return type(self)(self.spark, self._at(name))
+
+
+class MemoryStorage:
+    """The same in the memory of the driver, for tests and small state."""
+
+    def __init__(self):
+        self.texts: dict[str, str] = {}
+        self.children: dict[str, MemoryStorage] = {}
+
+    def has(self, key: str) -> bool:
+        return key in self.texts
+
+    def get(self, key: str) -> str | None:
+        return self.texts.get(key)
+
+    def set(self, key: str, value: str) -> None:
+        self.texts[key] = value
+
+    def delete(self, key: str) -> None:
+        self.texts.pop(key, None)
+
+    def clear(self) -> None:
+        self.texts.clear()
+
+    def keys(self) -> list[str]:
+        return sorted(self.texts)
+
+    find = Storage.find
+
+    def child(self, name: str) -> MemoryStorage:
+        return self.children.setdefault(name, MemoryStorage())
+
+
+class Cache:
+    """Answers by key in a storage, as JSON objects {"result": ..}; an entry that can't be read is deleted. Without a storage nothing is kept."""
+
+    def __init__(self, storage: Storage | MemoryStorage | None = None):
+        self.storage = storage
+
+    def get(self, key: str):
+        text = self.storage.get(key) if self.storage else None
+        if text is None:
+            return None
+        try:
+            return json.loads(text)["result"]
+        except (ValueError, KeyError, TypeError):
+            self.storage.delete(key)
+            return None
+
+    def set(self, key: str, value, **more) -> None:
+        if self.storage:
+            self.storage.set(key, json.dumps({"result": value} | more, ensure_ascii=False))
+
+    def has(self, key: str) -> bool:
+        return bool(self.storage) and self.storage.has(key)
+
+    def delete(self, key: str) -> None:
+        if self.storage:
+            self.storage.delete(key)
+
+    def clear(self) -> None:
+        if self.storage:
+            self.storage.clear()
+
+    def child(self, name: str) -> Cache:
+        return Cache(self.storage.child(name) if self.storage else None)
+
+
+def snapshot_rows(df: DataFrame, path: str, column: str | None = None, kind: str = "json") -> None:
+    """A file a task of the rows: whole rows as JSON, or one column as text."""
+    if kind == "text":
+        df.select(F.col(column).cast("string").alias("value")).filter("value IS NOT NULL").write.mode("overwrite").text(path)
+    else:
+        (df.select(column) if column else df).write.mode("overwrite").json(path)
+
+
+# The columns of the index tables' rows, with their types; the ones before the stroke must be there.
+OBJECTS = {
+    "entities": "id string, title string | type string, description string, human_readable_id string, text_unit_ids array<string>, community_ids array<string>, degree int",
+    "relationships": "id string, source string, target string | description string, human_readable_id string, weight double, text_unit_ids array<string>, combined_degree int",
+    "covariates": "id string, subject_id string | type string, human_readable_id string, text_unit_id string, status string",
+    "communities": "id string, title string, community string, level string, parent string | children array<string>, entity_ids array<string>, relationship_ids array<string>, text_unit_ids array<string>, size int, period string",
+    "community_reports": "id string, title string, community string | summary string, full_content string, human_readable_id string, rank double, size int, period string",
+    "text_units": "id string, text string | entity_ids array<string>, relationship_ids array<string>, covariate_ids array<string>, n_tokens int, document_ids array<string>, human_readable_id string",
+}
+
+
+def load_objects(df: DataFrame, kind: str, names: dict[str, str] = {}) -> DataFrame:
+    """An index table with the columns and types of its kind (a key of OBJECTS); names: own column -> column of df. Missing optional columns are NULL, missing needed ones an error."""
+    need, more = ([c.split(" ", 1) for c in part.split(", ")] for part in OBJECTS[kind].split(" | "))
+    if lost := [n for n, _ in need if names.get(n, n) not in df.columns]:
+        raise ValueError(f"{kind} lack {lost}")
+    return df.select(*[(F.col(names.get(n, n)) if names.get(n, n) in df.columns else F.lit(None)).cast(t).alias(n) for n, t in need + more])
 
 
 def font_inventory(spans: DataFrame) -> DataFrame:

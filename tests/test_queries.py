@@ -44,9 +44,11 @@ def test_same_as_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
-def test_others_run(spark, name):
-    assert entry.queries()[name](spark, SF).count() >= 0
+def test_others_give_rows(spark, name):
+    df = entry.queries()[name](spark, SF)
+    assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["head_id", "head", "relation_type", "tail", "score"]
+    df = entry.entry(spark)
+    assert df.columns == ["row_id", "h", "r", "t", "reason"] and df.count() > 0
