@@ -42,5 +42,5 @@ ORACLE = {
     "p4_records": _P4 + "SELECT row_id, n_copies FROM g WHERE row_id = kept",
     "p6_found": f"SELECT field_name, term, mark FROM ({_P6}) WHERE mark IS NOT NULL",
     "p6_terms": _P6,
-    "p7_checks": "SELECT count(*) AS documents, 0 AS over_full, 0 AS overlapping, 0 AS changed, 0 AS divided, false AS wasteful FROM documents",
+    "p7_validity": "SELECT count(*) AS documents, 0 AS over_full, 0 AS overlapping, 0 AS changed, 0 AS divided, false AS wasteful FROM documents",
 }

@@ -18,6 +18,12 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.coverage_report(chunks, *overlap.split_overlaps(chunks))
 
 
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every record occurs in the other splits."""
+    chunks = table(spark, d, "text_chunks")
+    return overlap.record_coverage(chunks, *overlap.split_overlaps(chunks)).filter("share IS NOT NULL").withColumn("share", F.round("share", 6))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     items, _ = consensus.competence_mixture(consensus.votes_of(table(spark, d, "validated_ch3"), table(spark, d, "verdict_votes")))
     return items.filter("n_annotators >= 3").select(F.col("item").alias("triple_id"), F.col("label").alias("verdict"))
@@ -96,7 +102,7 @@ def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, d, "documents")), 2048)
 
 
-def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+def p7_validity(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of p7_sequences: no sequence over full, no document lost, changed or divided without need, hardly more sequences than needed."""
     sizes = materialize(packing.token_counts(table(spark, d, "documents")), "sizes")
     return packing.packing_checks(packing.pack(sizes, 2048), sizes, 2048)
