@@ -159,6 +159,14 @@ def centroid_nearest(docs: DataFrame, k: int) -> DataFrame:
     return docs.crossJoin(F.broadcast(center)).select("id", F.round(F.sqrt(A.dot(d, d)), 6).alias("distance")).orderBy("distance", "id").limit(k)
 
 
+def sampled_units(units: DataFrame, how: str, k: int, seed: int = 86) -> DataFrame:
+    """k text units to show a model: all, top (the first by id), random (by a hash of seed and id) or auto (nearest to the mean vector; needs id, embedding)."""
+    if how == "auto":
+        return centroid_nearest(units, k).select("id")
+    order = {"all": None, "top": [F.col("id")], "random": [F.xxhash64(F.lit(seed), "id"), F.col("id")]}[how]
+    return units.select("id") if order is None else units.orderBy(*order).limit(k).select("id")
+
+
 def mean_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
     """Mean of a key's vectors, of unit length."""
     dims = df.select(key, F.posexplode(vec).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from . import external
 from .functions import arrays as A
 from .functions import text as T
-from .operators import evaluate, graph, ids, index, linking, retrieval, triples, update
+from .operators import embed, evaluate, graph, ids, index, linking, retrieval, triples, update
 from .plans import workflows
 from .queries import _COLLAPSE, _PAIRS, _UNDIRECTED, _mentions, _pairs, _plain, query
 from .session import materialize, table
+from .sources import io
 
 # --- functions -------------------------------------------------------------------------------------------------------------
 
@@ -306,6 +307,29 @@ def graph_types(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(f"SELECT 2 * count(DISTINCT t) AS walks, 0 AS jumps, 5 AS least, 5 AS most FROM (SELECT source AS t FROM ({_PAIRS}) WHERE source <> target UNION ALL SELECT target FROM ({_PAIRS}) WHERE source <> target)")
+def random_walk_checks(s: SparkSession, d: str) -> DataFrame:
+    """What holds of random walks: two from every node, each of five nodes, each step along an edge."""
+    p = _pairs(s, d).select("source", "target")
+    w = materialize(embed.random_walks(p, 2, 5), "walks")
+    steps = w.select(F.explode(F.arrays_zip(F.slice("path", 1, 4).alias("a"), F.slice("path", 2, 4).alias("b"))).alias("x")).select(F.col("x.a").alias("source"), F.col("x.b").alias("target"))
+    known = p.unionAll(p.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    jumps = steps.join(known, ["source", "target"], "left_anti").agg(F.count("*").alias("jumps"))
+    return w.agg(F.count("*").alias("walks"), F.min(F.size("path")).alias("least"), F.max(F.size("path")).alias("most")).crossJoin(jumps)
+
+
+@query("""SELECT p_size AS page, string_agg(trim(p_name), ' ' ORDER BY p_partkey) AS text FROM part WHERE (p_brand LIKE 'Brand#1%' OR p_brand LIKE 'Brand#2%') AND p_size BETWEEN 5 AND 30 AND trim(p_name) <> '' AND NOT contains(p_name, 'ss') GROUP BY 1""")
+def page_body_text(s: SparkSession, d: str) -> DataFrame:
+    spans = table(s, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_size").alias("page"), F.col("p_brand").alias("font"), F.lit(9.5).alias("size"), F.col("p_name").alias("text"))
+    return io.body_spans(spans, ["Brand#1", "Brand#2"], 9.0, 10.0, (5, 30), "ss")
+
+
+@query("""SELECT 'top' AS how, id FROM (SELECT id FROM text_chunks ORDER BY id LIMIT 7) UNION ALL SELECT 'all', id FROM text_chunks""")
+def sampled_units(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "text_chunks")
+    return retrieval.sampled_units(t, "top", 7).select(F.lit("top").alias("how"), "id").unionByName(retrieval.sampled_units(t, "all", 7).select(F.lit("all").alias("how"), "id"))
+
+
 # --- search ----------------------------------------------------------------------------------------------------------------
 
 
@@ -545,7 +569,7 @@ _WHOLE = {
     "finalized_relationships": "combined_degree human_readable_id", "entity_community_tables": "level community parent size relationships",
     "entity_community_subsets": "level community sub_community sub_size", "community_report_rows": "level community parent size", "community_context_lists": "level community",
     "community_children": "community", "report_roll_up": "community", "unfinished_rows": "row_id", "embedding_batches": "batch", "summary_packs": "pack",
-    "grouped_chunks": "chunks tokens", "entity_path_lengths": "hops n", "fixed_graph_paths": "title", "graph_types": "edges", "batch_context_entities": "qid ord",
+    "grouped_chunks": "chunks tokens", "entity_path_lengths": "hops n", "fixed_graph_paths": "title", "graph_types": "edges", "random_walk_checks": "walks jumps least most", "page_body_text": "page", "batch_context_entities": "qid ord",
     "batch_contexts": "qid state nr", "mapped_entities": "id first", "text_unit_ranking": "text_unit_id entity_order relations",
     "community_matches": "community matches level nr", "conversation_context": "conv_id nr qa_turn used", "ranked_report_batches": "community batch nr",
     "primer_folds": "community fold", "primer_merge": "follow_ups", "candidate_topk": "head id rank", "three_metric_filter": "event_id", "resolved_claims": "triple_id",

@@ -323,6 +323,19 @@ def font_inventory(spans: DataFrame) -> DataFrame:
     return spans.groupBy("font", "size").agg(F.sum(words).alias("words"), F.min_by("text", "ord").alias("sample")).orderBy(F.desc("words"), "font", "size")
 
 
+def body_spans(spans: DataFrame, fonts: list[str], least: float, most: float, pages: tuple[int, int] | None = None, drop: str | None = None) -> DataFrame:
+    """page, text of spans(ord, page, font, size, text) set in one of the body fonts (by prefix) and sizes, within the pages, whose text doesn't match `drop`; a page's spans in order with blanks between."""
+    font = F.lit(False)
+    for f in fonts:
+        font = font | F.col("font").startswith(f)
+    kept = spans.filter(font & F.col("size").between(least, most) & (F.trim("text") != ""))
+    if pages:
+        kept = kept.filter(F.col("page").between(*pages))
+    if drop:
+        kept = kept.filter(~F.col("text").rlike(drop))
+    return kept.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: F.trim(x["text"])), " ").alias("text"))
+
+
 def trainer_log(df: DataFrame) -> DataFrame:
     """epoch, loss, eval_loss, eval_accuracy of each entry of log_history."""
     return df.select(F.explode("log_history").alias("e")).select("e.epoch", "e.loss", "e.eval_loss", "e.eval_accuracy")

@@ -4,8 +4,9 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
+from kgflow import __main__ as cli
 from kgflow import external
-from kgflow.operators import index, linking, retrieval
+from kgflow.operators import embed, index, linking, retrieval
 from kgflow.plans import workflows
 from kgflow.sources import io
 
@@ -141,3 +142,23 @@ def test_children_are_linked_back(spark):
     t = spark.createDataFrame([(0, "x1"), (1, "x2")], "human_readable_id int, id string")
     got = linking.linked_context(spark.createDataFrame([(1, "b"), (7, "z")], "id int, text string"), t, ["id"]).orderBy("id").collect()
     assert [(r.id, r.index_id) for r in got] == [(1, "x2"), (7, None)]
+
+
+def test_walks_and_vectors_of_nodes(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "a"), (None, "c")], "source string, target string")
+    walks = embed.random_walks(edges, 3, 6).collect()
+    assert len(walks) == 9 and all(len(w.path) == 6 and w.path[0] == w.title for w in walks)
+    assert all({x, y} in ({"a", "b"}, {"b", "c"}) for w in walks for x, y in zip(w.path, w.path[1:]))
+    got = {r.title: len(r.vector) for r in embed.node_vectors(edges, 8, walks=2, length=5).collect()}
+    assert got == {"a": 8, "b": 8, "c": 8}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    docs = spark.createDataFrame([("1", "Alpha Router links Beta Switch."), ("2", "Beta Switch feeds Gamma Host.")], "id string, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    cli.main(["index", str(tmp_path / "docs"), str(tmp_path / "index"), "--size", "20", "--overlap", "2"])
+    spark.createDataFrame([("3", "Gamma Host asks Delta Node.")], "id string, text string").write.parquet(str(tmp_path / "more"))
+    cli.main(["update", str(tmp_path / "more"), str(tmp_path / "index"), "--to", str(tmp_path / "next"), "--size", "20", "--overlap", "2"])
+    assert spark.read.parquet(str(tmp_path / "next" / "entities.parquet")).filter("title = 'DELTA NODE'").count() == 1
+    cli.main(["search", str(tmp_path / "next"), "BETA SWITCH", "-k", "2"])
+    assert "BETA SWITCH" in capsys.readouterr().out
