@@ -16,6 +16,8 @@ from ..session import materialize, spread
 CELL, MOST_PIVOTS, PER_PIVOT, SAMPLE = 200, 4_096, 12, 50_000
 #: Cells each vector visits for its first neighbours; cells of more than LARGE vectors are compared in blocks of about as many.
 VISITS, LARGE = 3, 20_000
+#: Sampled vectors (at most; 50 MB of 96 floats) around which cells of more than LARGE vectors are divided before that.
+DIVIDERS = 131_072
 #: Graph rows that one task merges, about.
 TASK_ROWS = 100_000
 #: Similarities are kept as whole millionths.
@@ -45,18 +47,25 @@ def lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
 
 
-def pivots_of(rows: DataFrame, count: int, cell: int | None = None) -> np.ndarray:
-    """Unit vectors whose nearest regions are the cells: drawn from a sample of bounded size, more of them where the sample is dense."""
-    pivots = int(min(MOST_PIVOTS, max(1, count // (cell or CELL))))
-    wanted = min(count, SAMPLE, pivots * PER_PIVOT)
+def drawn(rows: DataFrame, count: int, wanted: int) -> np.ndarray:
+    """Different unit vectors of about `wanted` rows, chosen by the hash of their ids, in an order of their own."""
     share = min(1.0, 1.1 * wanted / max(1, count))
-    got = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).limit(SAMPLE).toArrow()
+    got = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).limit(max(SAMPLE, wanted)).toArrow()
     if not got.num_rows:
         return np.zeros((0, 1), np.float32)
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     x = np.unique(units(matrix(got["v"])[order]).astype(np.float32), axis=0)
-    rng = np.random.default_rng(3)
-    x = x[rng.permutation(len(x))]
+    return x[np.random.default_rng(3).permutation(len(x))]
+
+
+def pivots_of(rows: DataFrame, count: int, cell: int | None = None) -> np.ndarray:
+    """Unit vectors whose nearest regions are the cells: drawn from a sample of bounded size, more of them where the sample is dense."""
+    pivots = int(min(MOST_PIVOTS, max(1, count // (cell or CELL))))
+    wanted = min(count, SAMPLE, pivots * PER_PIVOT)
+    x = drawn(rows, count, wanted)
+    if not len(x):
+        return x
+    rng = np.random.default_rng(4)
     chosen = x[: max(1, pivots // 2)]
     for _ in range(4):
         if len(chosen) >= min(pivots, len(x)):
@@ -97,13 +106,15 @@ def _graph_batch(src: np.ndarray, own: np.ndarray, d: np.ndarray, s: np.ndarray,
 def first_graph(rows: DataFrame, pivots: np.ndarray, count: int, k: int, visits: int) -> DataFrame:
     """Each vector's k most similar ones within the cells it visits. Copies of a vector are one, under their least id.
 
-    One row per vector and cell, or per vector and block of a large cell: such a cell is divided into parts by hash and every two
-    parts are a block, so all pairs of a cell are compared whatever its size.
+    One row per vector and cell. A cell of more than LARGE vectors (estimated from a sample) is first divided into the regions of sampled
+    vectors of its own, DIVIDERS in all. What is still larger, as where many vectors are alike, is cut into parts by hash and every two parts are a block, so that
+    all pairs of it are compared, by several tasks.
     """
     visits = min(visits, len(pivots))
-    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+    sc = rows.sparkSession.sparkContext
+    sent = sc.broadcast(pivots)
 
-    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def visited(batches: Iterator[pa.RecordBatch], dividers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         seen: dict[bytes, int] = {}  # copies of one vector leave a task once, unless a smaller id comes later
         for b in batches:
             x, ids = np.ascontiguousarray(matrix(b["v"]), dtype=np.float32), b["id"].to_numpy()
@@ -124,24 +135,52 @@ def first_graph(rows: DataFrame, pivots: np.ndarray, count: int, k: int, visits:
                 z = u[a : a + 2048] @ sent.value.T
                 near.append(np.argpartition(-z, visits - 1, axis=1)[:, :visits])
             cells = np.concatenate(near).astype(np.int32)
+            if dividers.value:  # the two nearest regions of a divided cell
+                whole, cells = cells, np.concatenate([cells, np.full_like(cells, -2)], axis=1)
+                for c, (first, own) in dividers.value.items():
+                    r, at = np.nonzero(whole == c)
+                    if len(r):
+                        two = np.argpartition(-(u[r] @ own.T), 1, axis=1)[:, :2]
+                        cells[r, at], cells[r, visits + at] = first + two[:, 0], first + two[:, 1]
             yield ids, x, cells
 
-    def only_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, cells in visited(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel())], names=["cell"])
+    def loads(dividers, cells: int) -> np.ndarray:
+        """About how many vectors each cell holds."""
+
+        def only_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, cells in visited(batches, dividers):
+                yield pa.RecordBatch.from_arrays([pa.array(cells[cells >= 0])], names=["cell"])
 
-    split = np.ones(max(1, len(pivots)), np.int64)  # parts of each cell, two of which make a block
-    if count > LARGE:
         share = min(1.0, SAMPLE / count)
         some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
         load = some.mapInArrow(only_cells, "cell int").groupBy("cell").agg(F.count("*").alias("n")).toPandas()
-        held = load["n"].to_numpy(dtype=float) / share
-        split[load["cell"].to_numpy(dtype=int)] = np.where(held > LARGE, np.ceil(2 * held / LARGE), 1)
+        held = np.zeros(cells)
+        held[load["cell"].to_numpy(dtype=int)] = load["n"].to_numpy(dtype=float) / share
+        return held
+
+    total = max(1, len(pivots))
+    dividers, held = sc.broadcast({}), np.zeros(total)
+    if count > LARGE:
+        held = loads(dividers, total)
+        heavy = np.flatnonzero(held > LARGE)
+        if len(heavy) and DIVIDERS:
+            x = drawn(rows, count, min(count, DIVIDERS))
+            nearest = np.concatenate([(x[a : a + 2048] @ pivots.T).argmax(1) for a in range(0, len(x), 2048)])
+            parted = {}
+            for c in heavy.tolist():
+                own = x[nearest == c][: int(np.ceil(4 * held[c] / LARGE))]
+                if len(own) > 1:
+                    parted[c] = (total, own)
+                    total += len(own)
+            dividers = sc.broadcast(parted)
+            held = loads(dividers, total)
+    split = np.where(held > LARGE, np.ceil(2 * held / LARGE), 1).astype(np.int64)  # parts of each cell, two of which make a block
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x, cells in visited(batches):
-            parts = split[cells.ravel()]
-            of = np.repeat(np.arange(len(x)), visits)
+        for ids, x, cells in visited(batches, dividers):
+            of, slot = np.nonzero(cells >= 0)
+            into = cells[of, slot]
+            parts = split[into]
             crc = np.array([crc32(r.tobytes()) for r in x], dtype=np.int64)[of] if parts.max() > 1 else np.zeros(len(of), np.int64)
             # a vector goes to the blocks of its part with every other part
             blocks = np.maximum(parts - 1, 1)
@@ -153,7 +192,7 @@ def first_graph(rows: DataFrame, pivots: np.ndarray, count: int, k: int, visits:
             for a in range(0, len(at), 32_768):
                 one = at[a : a + 32_768]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel()[one]), pa.array(block[a : a + 32_768]), pa.array(ids[of[one]]), lists(cells[of[one]]), pa.array([r.tobytes() for r in x[of[one]]], pa.binary())],
+                    [pa.array(into[one]), pa.array(block[a : a + 32_768]), pa.array(ids[of[one]]), lists(cells[of[one]]), pa.array([r.tobytes() for r in x[of[one]]], pa.binary())],
                     names=["cell", "block", "id", "own", "v"],
                 )
 
@@ -229,29 +268,36 @@ def candidates(graph: DataFrame, follow: int, reverse: int, parts: int) -> DataF
             use = ((d >= 0) & (s >= follow)).ravel()
             u, v, sim = np.repeat(src, width)[use], d.ravel()[use], s.ravel()[use]
             uc, vc = np.repeat(own, width, axis=0)[use], c.reshape(len(src) * width, own.shape[1])[use]
-            # of what reaches one vector only the `reverse` most similar of a batch are sent: no hub gathers an unbounded group
-            mid, nbr, _, cells = best(v, u, sim, uc, reverse)
+            # of what reaches one vector only the `reverse` most similar count, so a batch need send no more: no hub gathers an unbounded group
+            mid, nbr, near, cells = best(v, u, sim, uc, reverse)
             ok = (nbr >= 0).ravel()
             back = np.repeat(mid, reverse)[ok], nbr.ravel()[ok], cells.reshape(len(mid) * reverse, own.shape[1])[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, back[0]])), pa.array(np.concatenate([v, back[1]])), lists(np.concatenate([vc, back[2]]))], names=["mid", "nbr", "cells"])
+            rank = np.concatenate([np.full(len(u), -1, np.int32), near.ravel()[ok]])  # -1: the vector's own neighbour
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, back[0]])), pa.array(np.concatenate([v, back[1]])), pa.array(rank), lists(np.concatenate([vc, back[2]]))], names=["mid", "nbr", "sim", "cells"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        mid, nbr, cells = t["mid"].to_numpy(), t["nbr"].to_numpy(), matrix(t["cells"])
-        at, n, _, c = best(mid, nbr, (nbr * 2654435761 % 1000003).astype(np.int32), cells, 2 * reverse)
+        mid, nbr, sim, cells = t["mid"].to_numpy(), t["nbr"].to_numpy(), t["sim"].to_numpy(), matrix(t["cells"])
+        # the best of those that reach a vector, whatever batches they came in, and its own neighbours
+        at, n, s, c = best(mid[sim >= 0], nbr[sim >= 0], sim[sim >= 0], cells[sim >= 0], reverse)
+        kept = (n >= 0).ravel()
+        mid, nbr = np.concatenate([mid[sim < 0], np.repeat(at, reverse)[kept]]), np.concatenate([nbr[sim < 0], n.ravel()[kept]])
+        cells = np.concatenate([cells[sim < 0], c.reshape(len(at) * reverse, cells.shape[1])[kept]])
+        at, n, _, c = best(mid, nbr, np.zeros(len(mid), np.int32), cells, width + reverse)
         c = c.reshape(len(at), n.shape[1], cells.shape[1])
         out = []
         for x in range(n.shape[1]):
             for y in range(x + 1, n.shape[1]):
-                use = (n[:, x] >= 0) & (n[:, y] >= 0) & ~(c[:, x, :, None] == c[:, y, None, :]).any((1, 2))
+                use = (n[:, x] >= 0) & (n[:, y] >= 0) & ~((c[:, x, :, None] == c[:, y, None, :]) & (c[:, x, :, None] >= 0)).any((1, 2))
                 out.append(np.stack([np.minimum(n[use, x], n[use, y]), np.maximum(n[use, x], n[use, y])], 1))
         found = np.unique(np.concatenate(out), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    sent = graph.mapInArrow(messages, "mid long, nbr long, cells array<int>")
+    width = graph.select(F.size("dst").alias("n")).first().n
+    sent = graph.mapInArrow(messages, "mid long, nbr long, sim int, cells array<int>")
     return sent.repartition(parts, "mid").mapInArrow(pairs, "a long, b long").distinct()
 
 
@@ -333,11 +379,11 @@ def most_similar(df: DataFrame, id_col: str = "id", vec_col: str = "embedding",
     return out.select(F.col("id").alias(id_col), F.col("n.to").alias("neighbour"), (F.col("at") + 1).cast("long").alias("rank"), (-F.col("n.s") / UNIT).alias("similarity"))
 
 
-def graph_search(queries: DataFrame, rows: DataFrame, graph: DataFrame, pivots: np.ndarray, k: int = 5, beam: int = 16, hops: int = 3, probes: int = 12) -> DataFrame:
+def graph_search(queries: DataFrame, rows: DataFrame, graph: DataFrame, pivots: np.ndarray, k: int = 5, beam: int = 20, hops: int = 3, probes: int = 16) -> DataFrame:
     """query, id, sim (millionths), rank: greedy search of the graph for each query vector (query, q) among rows (id, v).
 
-    A query enters at the best members of its `probes` nearest cells (each vector lies in one cell here) and moves on to the
-    neighbours of its `beam` best until `hops` are over or nothing new is found. All queries walk at once: a cogroup by cell
+    A query enters at the best members of its `probes` nearest cells (each vector lies in one cell here; cells of more than LARGE are met part by
+    part) and moves on to the neighbours of its `beam` best until `hops` are over or nothing new is found. All queries walk at once: a cogroup by cell
     to enter, then a join with the graph and one with the vectors a hop. Queries of another size than the vectors must not be given.
     """
     sent = queries.sparkSession.sparkContext.broadcast(pivots)
@@ -375,7 +421,11 @@ def graph_search(queries: DataFrame, rows: DataFrame, graph: DataFrame, pivots:
     by_sim = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
     best_of = lambda df, n: df.distinct().withColumn("at", F.row_number().over(by_sim)).filter(F.col("at") <= n)
     asked, members = queries.mapInArrow(*near("q", "query", probes)), rows.mapInArrow(*near("v", "id", 1))
-    found = asked.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(enter, "query long, id long, sim int")
+    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / LARGE).alias("parts")).filter("parts > 1")  # a row a pivot at most
+    parts = F.broadcast(materialize(sizes, "parts"))
+    members = members.join(parts, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    asked = asked.join(parts, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    found = asked.groupBy("cell", "part").cogroup(members.groupBy("cell", "part")).applyInArrow(enter, "query long, id long, sim int")
     found = materialize(best_of(found, 4 * beam).drop("at"), "search")
     for _ in range(hops):
         front = best_of(found, beam)

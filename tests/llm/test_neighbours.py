@@ -103,4 +103,29 @@ def test_large_cells_are_compared_whole(spark, monkeypatch):
     whole = edges()
     for large in (100, 250):
         monkeypatch.setattr(neighbours, "LARGE", large)
+        monkeypatch.setattr(neighbours, "DIVIDERS", 0)
         assert edges() == whole
+    monkeypatch.setattr(neighbours, "DIVIDERS", 400)
+    monkeypatch.setattr(neighbours, "SAMPLE", 400)
+    graph = neighbours.merge(neighbours.first_graph(rows, pivots, 900, 6, 2), 6, 4)
+    got = {(r.src, d, s) for r in graph.collect() for d, s in zip(r.dst, r.sim) if d >= 0}
+    close = {e for e in whole if e[2] >= 800_000}
+    assert got != whole and len(got & close) >= 0.9 * len(close)
+
+
+def test_hot_cells_of_a_search_are_met_in_parts(spark, vectors, monkeypatch):
+    monkeypatch.setattr(neighbours, "LARGE", 30)
+    monkeypatch.setattr(neighbours, "DIVIDERS", 0)
+    test_greedy_search_of_the_graph(spark, vectors, monkeypatch)
+
+
+def test_the_graph_does_not_depend_on_batches(spark, vectors, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 8)
+    monkeypatch.setattr(neighbours, "VISITS", 2)
+    rows = neighbours.valid(spark.createDataFrame(vectors, "id long, embedding array<float>"), "id", "embedding", 16)
+    graphs = []
+    for size in ("10000", "37"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        graphs.append(sorted((r.src, tuple(r.dst)) for r in neighbours.neighbour_graph(rows, 6, 0.6, rounds=2).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert graphs[0] == graphs[1]
