@@ -190,7 +190,9 @@ def fit(texts: list[str], labels: list[str], rounds: int = 3) -> Model:
     size = np.array([len(p) for p in parts])
     for j in range(len(LANGUAGES)):
         own = next((x for least in (LONG, LONG // 2) if len(x := np.flatnonzero((best == j) & (size >= least))) >= 30), ())
-        if len(own):
+        if not (best == j).any():  # nothing to know it by
+            m.floor[j] = np.inf
+        elif len(own):
             mean = z[own, j] / size[own]
             m.floor[j] = np.median(mean) - FAR * mean.std()
     return m

@@ -13,9 +13,12 @@ def record_bitmaps(df: DataFrame, id_col: str, term_col: str) -> DataFrame:
 
     Only runs that hold a set bit are stored, which is what compresses the bitmap; each has its occurrence counter beside it.
     Bitmaps of parts of a table are merged by union: group by term and word, bit_or the bits, add the counters.
+    Record ids must be whole numbers (a string id is an error; number such records first, as operators.ids.numbered does).
     Rows whose term is NULL or empty, or whose id is NULL, are left out. All steps combine on the map side, so a term
     or id that holds a third of the rows needs no special care.
     """
+    if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"record ids must be whole numbers, not {dict(df.dtypes)[id_col]}")
     kept = df.select(F.col(id_col).cast("long").alias("_id"), F.col(term_col).alias("term")).filter("_id IS NOT NULL AND term <> ''")
     return kept.groupBy("term", F.shiftright("_id", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(_id & 63 as int))")).alias("bits"), F.count("*").alias("occurrences")

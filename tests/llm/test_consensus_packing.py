@@ -104,3 +104,24 @@ def test_token_counts_are_of_whole_texts(spark):
     df = spark.createDataFrame([(1, "routers forward packets"), (2, "routers forward packets " * 4000), (3, ""), (4, None), (5, "<|endoftext|>")], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in packing.token_counts(df).collect()}
     assert got[3] == got[4] == 0 and got[1] < 8 and got[2] >= 4000 * 3 and got[5] > 1
+
+
+def test_packing_depends_on_rows_alone_and_its_checks_see_faults(spark):
+    rng = random.Random(16)
+    rows = [(i, rng.randrange(1, 700)) for i in range(2000)] + [(7, 100)] * 30
+    one = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), 1024)
+    rng.shuffle(rows)
+    sizes = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    two = packing.pack(sizes.repartition(7), 1024)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(one) == key(two)
+    good = packing.packing_checks(one, sizes, 1024).first()
+    assert tuple(good) == (2030, 0, 0, 0, 0, False)
+    bad = packing.packing_checks(one.filter("doc_id <> 5").withColumn("offset", one["offset"] + 1), sizes, 700).first()
+    assert bad.over_full > 0 and bad.overlapping > 0 and bad.changed == 1 and bad.documents == 2030
+
+
+def test_votes_with_labels_or_names_missing_take_no_part(spark):
+    rows = [(1, "a", "no"), (1, "b", "no"), (1, None, "yes"), (None, "a", "yes"), (1, "c", "other"), (1, "c", None)]
+    got = consensus.competence_mixture(spark.createDataFrame(rows, "item long, annotator string, label string"))
+    assert [(r.item, r.label, r.n_votes, r.n_annotators) for r in got[0].collect()] == [(1, "no", 2, 2)] and {r.annotator for r in got[1].collect()} == {"a", "b"}

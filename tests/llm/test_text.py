@@ -93,3 +93,26 @@ def test_languages_without_labels_and_of_nothing(spark):
     assert languages.document_languages(spark.createDataFrame([], schema)).collect() == []
     got = languages.document_languages(spark.createDataFrame([(1, "some text here", None), (2, "other " * 30_000, "zz")], schema)).collect()
     assert {r.doc_id for r in got} == {1, 2} and all(r.is_case for r in got)
+
+
+def test_texts_in_no_known_language_are_told(spark, corpus):
+    other = [
+        "한국어로 작성된 이 문서는 네트워크의 기본 개념을 설명하고 있으며 여러 장치가 어떻게 연결되는지 보여준다. 라우터는 패킷을 전달하고 스위치는 프레임을 보낸다.",
+        "Sieć komputerowa składa się z wielu urządzeń, które wymieniają pakiety danych między sobą przez różne łącza fizyczne i bezprzewodowe.",
+    ]
+    rows = [(i, t, l) for i, l, _, t in corpus] + [(8000 + i, t, None) for i, t in enumerate(other)]
+    got = {r.doc_id: r.languages for r in languages.document_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[8000 + i] == [languages.OTHER] for i in range(len(other)))
+    assert not any(languages.OTHER in x for i, x in got.items() if i < 8000)
+
+
+def test_labels_as_columns_are_read_alike(spark):
+    labels = ["en", "EN_us", " eng ", "German", "zh-Hans", "pt-BR", "Français", "und", "xx", "", None, "unknown", " ru ", "中文(简体)", "-", "es/en"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, lang string").select("i", languages.code_column("lang").alias("c")).orderBy("i").collect()
+    assert [r.c for r in got] == [languages.code_of(x) for x in labels]
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, "The router forwards packets to the host.", None), (1, "The router forwards packets to the host.", "en"), (2, "Der Rechner sendet die Pakete an den Vermittler.", "de")]
+    got = {r.doc_id: r.label for r in languages.document_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: "en", 2: "de"}

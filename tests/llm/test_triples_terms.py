@@ -70,3 +70,21 @@ def test_terms_of_an_empty_table_and_negative_ids(spark):
     assert terms.term_frequencies(spark.createDataFrame([], "id long, v string"), "id", "v").collect() == []
     got = terms.term_frequencies(spark.createDataFrame([(-1, "a"), (-64, "a"), (-65, "a"), (63, "a")], "id long, v string"), "id", "v").collect()
     assert [(r.occurrences, r.records) for r in got] == [(4, 4)]
+
+
+def test_colliding_fingerprints_merge_nothing(spark, monkeypatch):
+    rows = [(1, "a", "is_a", "b"), (2, "A", "is a", "b!"), (3, "c", "is_a", "d"), (4, "c", "is_a", "D"), (4, "x", "is_a", "y"), (5, "x", "is_a", "y"), (6, "lone", "is_a", "y")]
+    df, known = triples(spark, rows), spark.createDataFrame([("is_a", 1)], "relation_type string, relation_id int")
+    want = sorted(tuple(r) for r in copies.triple_copies(df, known).collect())
+    assert (4, 4, 2) in want and (5, 4, 2) in want and (4, 3, 2) in want
+    monkeypatch.setattr(copies, "multiset_hash", lambda pairs, salt: F.lit(7).cast("long"))
+    assert sorted(tuple(r) for r in copies.triple_copies(df, known).collect()) == want
+    monkeypatch.setattr(copies, "HOT_ROWS", 2)
+    assert sorted(tuple(r) for r in copies.triple_copies(df, known).collect()) == want
+
+
+def test_record_ids_must_be_numbers(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        terms.term_frequencies(spark.createDataFrame([("r1", "x")], "id string, term string"), "id", "term")
