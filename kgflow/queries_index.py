@@ -269,11 +269,13 @@ def summary_packs(s: SparkSession, d: str) -> DataFrame:
     return g.select("title", F.posexplode(index.summary_packs(F.col("c"), 12)).alias("pack", "descriptions"))
 
 
-@query(r"""WITH g AS (SELECT source, split_name, string_agg(text, chr(10) ORDER BY id) AS text FROM text_chunks WHERE text IS NOT NULL GROUP BY ALL), t AS (SELECT source, split_name, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM g)
-SELECT source, split_name, count(*) AS chunks, sum(len(w[s + 1 : s + 200])) AS tokens FROM (SELECT *, unnest(range(0, len(w), 150)) AS s FROM t) GROUP BY ALL""")
+@query(r"""WITH g AS (SELECT id // 10 AS part, split_name, string_agg(text, chr(10) ORDER BY id) AS text FROM text_chunks WHERE text IS NOT NULL GROUP BY ALL), t AS (SELECT part, split_name, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM g)
+SELECT part, split_name, count(*) AS chunks, sum(len(w[s + 1 : s + 50])) AS tokens FROM (SELECT *, unnest(range(0, len(w), 40)) AS s FROM t) GROUP BY ALL""")
 def grouped_chunks(s: SparkSession, d: str) -> DataFrame:
-    c = index.grouped_chunks(table(s, d, "text_chunks"), ["source", "split_name"], "id", 200, 50)
-    return c.groupBy("source", "split_name").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"))
+    """Chunks of ten neighbouring texts of a split put together: groups are documents, so they stay small."""
+    t = table(s, d, "text_chunks").withColumn("part", F.floor(F.col("id") / 10))
+    c = index.grouped_chunks(t, ["part", "split_name"], "id", 50, 10)
+    return c.groupBy("part", "split_name").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"))
 
 
 # --- graphs ----------------------------------------------------------------------------------------------------------------
@@ -569,7 +571,7 @@ _WHOLE = {
     "finalized_relationships": "combined_degree human_readable_id", "entity_community_tables": "level community parent size relationships",
     "entity_community_subsets": "level community sub_community sub_size", "community_report_rows": "level community parent size", "community_context_lists": "level community",
     "community_children": "community", "report_roll_up": "community", "unfinished_rows": "row_id", "embedding_batches": "batch", "summary_packs": "pack",
-    "grouped_chunks": "chunks tokens", "entity_path_lengths": "hops n", "fixed_graph_paths": "title", "graph_types": "edges", "random_walk_checks": "walks jumps least most", "page_body_text": "page", "batch_context_entities": "qid ord",
+    "grouped_chunks": "part chunks tokens", "entity_path_lengths": "hops n", "fixed_graph_paths": "title", "graph_types": "edges", "random_walk_checks": "walks jumps least most", "page_body_text": "page", "batch_context_entities": "qid ord",
     "batch_contexts": "qid state nr", "mapped_entities": "id first", "text_unit_ranking": "text_unit_id entity_order relations",
     "community_matches": "community matches level nr", "conversation_context": "conv_id nr qa_turn used", "ranked_report_batches": "community batch nr",
     "primer_folds": "community fold", "primer_merge": "follow_ups", "candidate_topk": "head id rank", "three_metric_filter": "event_id", "resolved_claims": "triple_id",
