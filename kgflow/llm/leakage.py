@@ -229,7 +229,7 @@ class Index:
         held = self.bits[items][:, h >> np.uint32(3)] >> (h & np.uint32(7)).astype(np.uint8) & np.uint8(1)
         sums = np.concatenate([np.zeros((len(items), 1), np.int32), np.cumsum(held, axis=1, dtype=np.int32)], axis=1)
         to = np.minimum(np.arange(sums.shape[1]) + self.span[items][:, None], sums.shape[1] - 1)
-        return items[((np.take_along_axis(sums, to, 1) - sums).max(1) >= self.least[items]) | (self.n[items] < 2)]
+        return items[((np.take_along_axis(sums, to, 1) - sums).max(1) >= self.least[items]) | (self.n[items] < 3)]  # half of two has no pair
 
     def search(self, docs: list[np.ndarray], owner: np.ndarray, place: np.ndarray, fp: np.ndarray) -> list[tuple[int, int, int]]:
         """(document, item, units held) from the documents' units and fingerprints."""
@@ -307,7 +307,7 @@ def joined(docs: DataFrame, doc_id: str, item_id: str, known: DataFrame, found:
                 a, b = np.frombuffer(iu, np.uint32), np.frombuffer(du, np.uint32)
                 held = np.concatenate([[0], np.cumsum(np.isin(pair_bits(b), pair_bits(a)))])
                 n, span = np.array(len(a)), int(span_of(len(a)))
-                if n > 1 and len(b) > 1 and ((held[span:] - held[:-span]).max() if len(held) > span else held[-1]) < least_of(n):
+                if n > 2 and len(b) > 1 and ((held[span:] - held[:-span]).max() if len(held) > span else held[-1]) < least_of(n):
                     continue
                 if best := passage(a, b, ip.astype(np.int64), dp.astype(np.int64), least):
                     rows.append((r, doc, item, best / len(a)))

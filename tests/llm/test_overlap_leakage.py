@@ -256,8 +256,10 @@ def allowed(item, part):
     return False
 
 
+@pytest.mark.parametrize("prints", [1_000_000, 0], ids=["broadcast", "joined"])
 @pytest.mark.parametrize("letters", [False, True])
-def test_halves_of_items_of_any_length_are_found_however_edited(spark, letters):
+def test_halves_of_items_of_any_length_are_found_however_edited(spark, letters, prints, monkeypatch):
+    monkeypatch.setattr(leakage, "BROADCAST_PRINTS", prints)
     rng = random.Random(31)
     join = (lambda x: "".join(x)) if letters else " ".join
     unit = (lambda i: chr(0x4E00 + i)) if letters else (lambda i: f"w{i}")
