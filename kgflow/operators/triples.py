@@ -64,6 +64,10 @@ SUPERSEDED_TRIPLES = (
 )
 
 
+#: Tokens of a (head, relation) up to which they are carried in a row, and pairs of a prediction and an entity that one task meets, about.
+CARRIED, PAIRS = 256, 1_000_000
+
+
 @dataclass
 class CleaningRules:
     """Data of the cleaning cascade. Triples are (head, relation, tail), superseded are (head, relation, weaker tail, stronger tail)."""
@@ -212,13 +216,42 @@ def expansion_scores(predictions: DataFrame, entities: DataFrame) -> DataFrame:
     """head, relation, tail, score, n_evidence, tokens from predictions(head, relation, token, prob) and entities(entity).
 
     A token supports each entity it is a word of, with ln(prob + 1e-12) divided by the number of those entities.
+    A prediction's row carries all tokens of its (head, relation), so a pair is whole where its first common token is met and
+    what the join gives isn't shuffled. A (head, relation) of over CARRIED tokens would make long rows; its tokens are
+    joined one by one with entities that lie in partitions by name. Tokens of many pairs are dealt over several tasks.
     """
-    words = entities.select("entity", F.explode(F.array_distinct(T.tokens(F.col("entity")))).alias("token")).distinct()
-    fan = words.groupBy("token").agg(F.count("*").alias("fan_out"))
-    hits = predictions.filter(~F.col("token").startswith("##")).join(fan, "token").join(words, "token")
-    return hits.groupBy("head", "relation", F.col("entity").alias("tail")).agg(
-        F.sum(F.log(F.col("prob") + 1e-12) / F.col("fan_out")).alias("score"), F.count("*").alias("n_evidence"), F.array_sort(F.collect_set("token")).alias("tokens")
-    )
+    spark, pair = entities.sparkSession, ["head", "relation"]
+    words = entities.select("entity", F.array_distinct(T.tokens(F.col("entity"))).alias("_in")).filter(F.size("_in") > 0).dropDuplicates(["entity"])
+    words = materialize(words, "words")
+    fan = words.select(F.explode("_in").alias("token")).groupBy("token").agg(F.count("*").alias("fan_out"))
+    each = predictions.filter(~F.col("token").startswith("##")).join(fan, "token")
+    each = each.groupBy(*pair, "token", "fan_out").agg(F.sum(F.log(F.col("prob") + 1e-12) / F.col("fan_out")).alias("_s"), F.count("*").alias("_n"))
+    each = materialize(each, "predictions")
+    long = small(each.groupBy(*pair).agg(F.count("*").alias("_t")).filter(F.col("_t") > CARRIED).select(*[F.col(c).alias(f"_{c}") for c in pair]))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pair]
+
+    load = each.groupBy("token").agg((F.count("*") * F.first("fan_out")).alias("_pairs"))
+    total = load.agg(F.sum("_pairs")).first()[0] or 0
+    hot = small(load.filter(F.col("_pairs") > PAIRS).select("token", F.ceil(F.col("_pairs") / PAIRS).alias("_parts")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PAIRS)
+    lists = each.join(long, same, "left_anti").groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("token", "_s", "_n"))).alias("_all"))
+    left = lists.select(*pair, "_all", F.col("_all.token").alias("_tokens"), F.explode("_all").alias("e")).select(*pair, "_all", "_tokens", F.col("e.token").alias("token"), "e._s", "e._n")
+    left = left.join(hot, "token", "left").withColumn("_salt", F.pmod(F.xxhash64(*pair), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    right = words.select("entity", "_in", F.explode("_in").alias("token")).join(hot, "token", "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    met = left.repartition(tasks, "token", "_salt").join(right.repartition(tasks, "token", "_salt"), ["token", "_salt"])
+    met = met.withColumn("tokens", F.array_intersect("_tokens", "_in")).filter(F.col("tokens")[0] == F.col("token"))
+    common, alone = F.filter("_all", lambda x: F.array_contains("tokens", x["token"])), F.size("tokens") == 1
+    total_of = lambda field, zero, kind: F.aggregate(common, F.lit(zero).cast(kind), lambda s, x: s + x[field])
+    score, count = F.when(alone, F.col("_s")).otherwise(total_of("_s", 0.0, "double")), F.when(alone, F.col("_n")).otherwise(total_of("_n", 0, "long"))
+    # as a generator's row: a filter on the score would otherwise go into the join and compute it for every pair met
+    row = F.struct(score.alias("score"), count.alias("n_evidence"), F.col("tokens").alias("tokens"))
+    out = met.select(*pair, F.col("entity").alias("tail"), F.explode(F.array(row)).alias("_r")).select(*pair, "tail", "_r.*")
+
+    some = small(each.join(long, same, "left_semi"))
+    by_name = words.repartition(tasks, "entity").select(F.col("entity").alias("tail"), F.explode("_in").alias("token"))
+    rest = by_name.join(some, "token").groupBy(*pair, "tail").agg(F.sum("_s").alias("score"), F.sum("_n").alias("n_evidence"), F.array_sort(F.collect_set("token")).alias("tokens"))
+    return out.unionByName(rest)
 
 
 def expansion_candidates(scores: DataFrame, known: DataFrame, min_score: float = -5.0, min_evidence: int = 1, per_pair: int = 20) -> DataFrame:

@@ -201,3 +201,31 @@ def test_an_updated_index_is_whole_and_can_be_searched(spark):
     assert any("OMEGA" in str(r) for r in points.collect())
     again = workflows.update_index(new, docs.unionByName(spark.createDataFrame([("d11", "Omega Core calls Zeta Node.")], "id string, text string")), **options)
     assert again["final_documents"].count() == 6 and again["entities"].filter("title LIKE '%ALPHA%' AND size(descriptions) = 0").count() == 0
+
+
+def test_expansion_is_whole_however_its_tokens_are_met(spark, monkeypatch):
+    rows = [("h", "r", t, 0.5 / (i + 1)) for i, t in enumerate("a b c d".split())] + [("g", "r", "a", 0.3), (None, "r", "b", 0.2), ("g", "r", "##a", 0.9), ("g", "r", "zz", 0.9)]
+    p = spark.createDataFrame(rows, "head string, relation string, token string, prob double")
+    entities = ["a b", "c", "b c d", "x a", "y", "d d", None, " ", "c"]
+    want, words = {}, {e: set(e.split()) for e in entities if e}
+    fan = {t: sum(t in w for w in words.values()) for _, _, t, _ in rows}
+    for h, r, t, prob in rows:
+        for e, w in words.items():
+            if t in w:
+                want.setdefault((h, r, e), []).append((t, math.log(prob + 1e-12) / fan[t]))
+    want = {k: (round(sum(x for _, x in v), 9), len(v), sorted(t for t, _ in v)) for k, v in want.items()}
+    for carried, pairs in ((256, 1_000_000), (2, 1_000_000), (256, 1), (1, 2)):
+        monkeypatch.setattr(triples, "CARRIED", carried)
+        monkeypatch.setattr(triples, "PAIRS", pairs)
+        df = triples.expansion_scores(p, spark.createDataFrame([(e,) for e in entities], "entity string"))
+        got = df.collect()
+        assert {(r.head, r.relation, r.tail): (round(r.score, 9), r.n_evidence, r.tokens) for r in got} == want and len(got) == len(want)
+
+
+def test_expansion_pairs_are_not_shuffled(spark):
+    """What the join of tokens gives is many times its input: no exchange may lie above it."""
+    p = spark.createDataFrame([("h", "r", "a", 0.5)], "head string, relation string, token string, prob double")
+    df = triples.expansion_scores(p, spark.createDataFrame([("a b",)], "entity string"))
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    main = plan[: plan.index("array_intersect")]
+    assert "Exchange" not in main
