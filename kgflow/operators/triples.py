@@ -254,11 +254,19 @@ def expansion_scores(predictions: DataFrame, entities: DataFrame) -> DataFrame:
     return out.unionByName(rest)
 
 
-def expansion_candidates(scores: DataFrame, known: DataFrame, min_score: float = -5.0, min_evidence: int = 1, per_pair: int = 20) -> DataFrame:
-    """New, non-reflexive candidates: the densest entity of each (head, relation, token), then the best per_pair of each (head, relation)."""
+def expansion_candidates(scores: DataFrame, known: DataFrame | Column, min_score: float = -5.0, min_evidence: int = 1, per_pair: int = 20) -> DataFrame:
+    """New, non-reflexive candidates: the densest entity of each (head, relation, token), then the best per_pair of each (head, relation).
+
+    known: the triples that aren't new, or a condition on the scores' rows that tells them, which needs no join.
+    """
     valid = scores.filter((F.col("head") != F.col("tail")) & (F.col("score") >= min_score) & (F.col("n_evidence") >= min_evidence))
-    valid = valid.join(known.select("head", "relation", "tail").distinct(), ["head", "relation", "tail"], "left_anti")
-    rows = valid.withColumn("token", F.explode("tokens")).withColumn("density", T.token_density(F.col("tail"), F.col("token")))
+    if isinstance(known, Column):
+        valid = valid.filter(~F.coalesce(known, F.lit(False)))
+    else:
+        valid = valid.join(small(known.select("head", "relation", "tail").distinct()), ["head", "relation", "tail"], "left_anti")
+    # a tail is taken apart before its tokens become rows: once a row, not once a token
+    rows = valid.withColumn("_words", T.tokens(F.col("tail"))).withColumn("token", F.explode("tokens"))
+    rows = rows.withColumn("density", F.when(F.size("_words") > 0, (F.size("_words") - F.size(F.array_remove("_words", F.col("token")))) / F.size("_words")).otherwise(0.0)).drop("_words")
     best = top_triples(rows, ["head", "relation", "token"], [F.desc("density"), F.desc("score"), F.asc("tail")])
     best = best.select("head", "relation", "tail", "score", "n_evidence", F.array_join("tokens", " | ").alias("matched_tokens")).distinct()
     return top_triples(best, ["head", "relation"], [F.desc("score"), F.asc("tail")], per_pair)

@@ -220,6 +220,9 @@ def test_expansion_is_whole_however_its_tokens_are_met(spark, monkeypatch):
         df = triples.expansion_scores(p, spark.createDataFrame([(e,) for e in entities], "entity string"))
         got = df.collect()
         assert {(r.head, r.relation, r.tail): (round(r.score, 9), r.n_evidence, r.tokens) for r in got} == want and len(got) == len(want)
+    known = df.filter("tail = 'c'").select("head", "relation", "tail")
+    ways = [sorted(map(tuple, triples.expansion_candidates(df, k).collect()), key=str) for k in (known, F.col("tail") == "c")]
+    assert ways[0] == ways[1] and ways[0]
 
 
 def test_expansion_pairs_are_not_shuffled(spark):
