@@ -5,13 +5,14 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, spread
+from ..session import discard, materialize, spread
 from .norm import words
 from .winnow import gram_hashes, unit_ids
 
@@ -19,8 +20,10 @@ from .winnow import gram_hashes, unit_ids
 K, SHORT_K, SHORT = 3, 2, 12
 #: Words of a block, inside which a record's grams are chosen together.
 BLOCK = 64
-#: Buckets in which grams of train are counted (1 MB), records sampled for it at most, and bits that tell which grams were chosen (4 MB).
-SKETCH, SAMPLE, BITS = 1 << 18, 50_000, 1 << 25
+#: Buckets in which grams of train are counted (1 MB), records sampled for it at most, and bits that tell which grams were chosen (4 MB; 16 MB for over MANY grams).
+SKETCH, SAMPLE, BITS, MANY = 1 << 18, 50_000, 1 << 25, 2_000_000
+#: Grams of train up to which all are joined at once; more are joined in PASSES parts by their hashes, one after another, so that their files never lie on disk together.
+AT_ONCE, PASSES = 50_000_000, 4
 #: Records a gram has in one group of the join, about: those of a more frequent gram are spread over several.
 GROUP = 20_000
 PIECE = 4_000
@@ -129,6 +132,12 @@ def bucket(fp: np.ndarray) -> np.ndarray:
     return (fp >> np.uint64(30) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+def by_length(whole: pd.DataFrame) -> list[tuple[pd.DataFrame, int]]:
+    """Records of train by the words a gram of theirs holds: a record of SHORT words is near to ones of 4/5 as many and of 5/4 as many."""
+    n = whole["w"].str.count(" ") + 1
+    return [(whole[n * 5 >= SHORT * 4], K), (whole[(n >= 4) & (n * 4 < SHORT * 5)], SHORT_K)]
+
+
 def gram_counts(train: DataFrame) -> np.ndarray:
     """For each bucket of grams, about how many of the records hold one of them (estimated from a sample of bounded size)."""
     share = min(1.0, SAMPLE / max(1, train.count()))
@@ -175,7 +184,7 @@ def choose(cost: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def chosen_grams(held_out: DataFrame, counts: np.ndarray) -> DataFrame:
-    """fp, salt, e, ea, en, i, e1, e2: n // 4 + 1 grams of each record of n words that share no word, numbered i from the rarest on."""
+    """fp, salt, e, ea, en, e1, e2: n // 4 + 1 grams of each record of n words that share no word."""
     sent = held_out.sparkSession.sparkContext.broadcast(counts)
 
     def some(pdf: pd.DataFrame, k: int, seen: dict[str, int]) -> pd.DataFrame:
@@ -193,13 +202,12 @@ def chosen_grams(held_out: DataFrame, counts: np.ndarray) -> DataFrame:
         g = begin[of[row]] + lo[row] + at
         g = g[np.lexsort((place[g], count[g], owner[g]))]
         i = np.arange(len(g)) - np.searchsorted(owner[g], owner[g])
-        keep = i <= n[owner[g]] // 4
-        g, i = g[keep], i[keep]
+        g = g[i <= n[owner[g]] // 4]
         parts = 1 + (count[g] // GROUP).astype(np.int64)
         salt = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        g, i = np.repeat(g, parts), np.repeat(i, parts)
+        g = np.repeat(g, parts)
         o = owner[g]
-        return pd.DataFrame({"fp": fp[g].view(np.int64), "salt": salt.astype(np.int32), "e": pdf["cls"].to_numpy()[o], "ea": place[g].astype(np.int32), "en": n[o].astype(np.int32), "i": i.astype(np.int32), "e1": held[0][o].view(np.int64), "e2": held[1][o].view(np.int64)})
+        return pd.DataFrame({"fp": fp[g].view(np.int64), "salt": salt.astype(np.int32), "e": pdf["cls"].to_numpy()[o], "ea": place[g].astype(np.int32), "en": n[o].astype(np.int32), "e1": held[0][o].view(np.int64), "e2": held[1][o].view(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
@@ -210,20 +218,25 @@ def chosen_grams(held_out: DataFrame, counts: np.ndarray) -> DataFrame:
                     yield some(pdf.iloc[at : at + PIECE], k, seen)
 
     kind = dict(held_out.dtypes)["cls"]
-    return spread(held_out).mapInPandas(run, f"fp long, salt int, e {kind}, ea int, en int, i int, e1 long, e2 long")
+    return spread(held_out).mapInPandas(run, f"fp long, salt int, e {kind}, ea int, en int, e1 long, e2 long")
+
 
+def part_of(passes: int) -> Column:
+    """Which of `passes` parts a gram belongs to."""
+    return F.pmod(F.expr("shiftrightunsigned(fp, 40)"), F.lit(passes))
 
-def matching_grams(train: DataFrame, counts: np.ndarray, chosen: DataFrame) -> DataFrame:
-    """fp, salt, t, ta, tn, t1, t2: all grams of the records that may be among the chosen ones, a fixed bitmap tells."""
-    bits = chosen.groupBy(F.expr(f"shiftright(fp & {BITS - 1}, 6)").cast("int").alias("b")).agg(F.expr("bit_or(shiftleft(1L, int(fp & 63)))").alias("m")).toPandas()
-    bitmap = np.zeros(BITS >> 6, np.uint64)
+
+def matching_grams(train: DataFrame, counts: np.ndarray, chosen: DataFrame, size: int, part: int = 0, passes: int = 1) -> DataFrame:
+    """fp, salt, t, ta, tn, t1, t2: all grams of the records, of one part of `passes`, that may be among the chosen ones; a bitmap of `size` bits tells."""
+    bits = chosen.groupBy(F.expr(f"shiftright(fp & {size - 1}, 6)").cast("int").alias("b")).agg(F.expr("bit_or(shiftleft(1L, int(fp & 63)))").alias("m")).toPandas()
+    bitmap = np.zeros(size >> 6, np.uint64)
     bitmap[bits["b"].to_numpy(dtype=int)] = bits["m"].to_numpy(dtype=np.int64).view(np.uint64)
     sent = train.sparkSession.sparkContext.broadcast((bitmap, counts))
 
     def some(pdf: pd.DataFrame, k: int, seen: dict[str, int]) -> pd.DataFrame:
         owner, place, fp, n, held = grams_of(pdf, k, seen)
-        known = sent.value[0][(fp & np.uint64(BITS - 1)) >> np.uint64(6)] >> (fp & np.uint64(63)) & np.uint64(1)
-        g = np.flatnonzero(known)
+        known = sent.value[0][(fp & np.uint64(size - 1)) >> np.uint64(6)] >> (fp & np.uint64(63)) & np.uint64(1)
+        g = np.flatnonzero(known.astype(bool) & ((fp >> np.uint64(40)) % np.uint64(passes) == np.uint64(part)))
         o, fp = owner[g], fp[g]
         parts = 1 + (sent.value[1][bucket(fp)] // GROUP).astype(np.uint64)
         cls = pdf["cls"].to_numpy()
@@ -233,9 +246,7 @@ def matching_grams(train: DataFrame, counts: np.ndarray, chosen: DataFrame) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
         for whole in batches:
-            n = whole["w"].str.count(" ") + 1
-            # a record of SHORT words is near to ones of 4/5 as many and of 5/4 as many
-            for pdf, k in ((whole[n * 5 >= SHORT * 4], K), (whole[(n >= 4) & (n * 4 < SHORT * 5)], SHORT_K)):
+            for pdf, k in by_length(whole):
                 for at in range(0, len(pdf), PIECE):
                     yield some(pdf.iloc[at : at + PIECE], k, seen)
 
@@ -248,8 +259,8 @@ def near_pairs(classes: DataFrame) -> DataFrame:
 
     dist is at most a fifth of the longer word sequence, d. A record of n words outside train chooses n // 4 + 1 grams that share
     no word, the rarest there are: no partner is longer than 5/4 n, so d < n // 4 + 1, an edit spoils one of them at most, and of
-    any d + 1 of them one stands in the partner whole, at a place that the edits before and after it allow. Train's grams are
-    all looked up, so no pair is missed, however frequent the gram; pairs with more than d different words on either side (as
+    them n // 4 + 1 - d or more stand in the partner whole, at places that the edits before and after them allow; pairs with fewer
+    are dropped. Train's grams are all looked up, so no pair is missed, however frequent the gram; pairs with more than d different words on either side (as
     far as 128 bits tell) are dropped before the texts are joined. Records of under 4 words are near to equal ones only.
     The pair's seeds are chained and the chain is extended by alignment on all sides; where that takes too many edits, the exact distance of the whole
     texts decides. dist is the edits of the alignment found, at most a fifth of the words and hardly ever more than the distance.
@@ -258,11 +269,24 @@ def near_pairs(classes: DataFrame) -> DataFrame:
     counts = gram_counts(train)
     chosen = materialize(chosen_grams(held_out, counts), "chosen")
     most = "greatest(tn, en) div 5"
-    near = f"t <> e AND i <= {most} AND abs(ta - ea) + abs(tn - en - ta + ea) <= {most} AND bit_count(t1 & ~e1) + bit_count(t2 & ~e2) <= {most} AND bit_count(e1 & ~t1) + bit_count(e2 & ~t2) <= {most}"
-    met = matching_grams(train, counts, chosen).join(chosen, ["fp", "salt"]).filter(near)
+    near = f"t <> e AND abs(ta - ea) + abs(tn - en - ta + ea) <= {most} AND bit_count(t1 & ~e1) + bit_count(t2 & ~e2) <= {most} AND bit_count(e1 & ~t1) + bit_count(e2 & ~t2) <= {most}"
+    passes = PASSES if counts.sum(dtype=np.float64) > AT_ONCE else 1
+    size = BITS if chosen.count() <= MANY else 4 * BITS
+    need = F.max(F.expr(f"en div 4 + 1 - {most}")).alias("need")  # chosen grams that the edits must leave
+    enough = "size(array_distinct(seeds.ea)) >= need"
     # a pair shares at most the n // 4 + 1 grams that its record outside train has chosen, at the few places that edits allow
-    pairs = materialize(met.groupBy("t", "e").agg(F.array_sort(F.collect_set(F.struct("ta", "ea"))).alias("seeds")), "pairs")
-    texts = classes.select("cls", "w")
+    found = []
+    for part in range(passes):
+        some = chosen.filter(part_of(passes) == part) if passes > 1 else chosen
+        met = matching_grams(train, counts, some, size, part, passes).join(some, ["fp", "salt"]).filter(near)
+        met = met.groupBy("t", "e").agg(F.array_sort(F.collect_set(F.struct("ta", "ea"))).alias("seeds"), need)
+        found.append(materialize(met.filter(enough) if passes == 1 else met, "pairs"))
+    discard(chosen)
+    pairs = found[0]
+    if passes > 1:
+        pairs = materialize(reduce(DataFrame.unionByName, found).groupBy("t", "e").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seeds")))).alias("seeds"), F.max("need").alias("need")).filter(enough), "pairs")
+        discard(*found)
+    texts, narrow = classes.select("cls", "w"), pairs
     pairs = pairs.join(texts.select(F.col("cls").alias("t"), F.col("w").alias("tw")), "t").join(texts.select(F.col("cls").alias("e"), F.col("w").alias("ew")), "e")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,7 +306,9 @@ def near_pairs(classes: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["t", "e", "words", "dist", "seeds"])
 
     kind = dict(classes.dtypes)["cls"]
-    return pairs.select("t", "e", "tw", "ew", F.col("seeds.ta").alias("ta"), F.col("seeds.ea").alias("ea")).mapInPandas(run, f"t {kind}, e {kind}, words int, dist int, seeds int")
+    near = materialize(pairs.select("t", "e", "tw", "ew", F.col("seeds.ta").alias("ta"), F.col("seeds.ea").alias("ea")).mapInPandas(run, f"t {kind}, e {kind}, words int, dist int, seeds int"), "near")
+    discard(narrow)
+    return near
 
 
 def split_overlaps(df: DataFrame, id_col: str = "id", text_col: str = "text", split_col: str = "split_name", train: str = "train") -> tuple[DataFrame, DataFrame]:
@@ -296,7 +322,9 @@ def split_overlaps(df: DataFrame, id_col: str = "id", text_col: str = "text", sp
     classes, members = classes_of(df, id_col, text_col, F.col(split_col) == train, F.col(split_col) != train)
     near = near_pairs(classes)
     same = classes.filter("train AND eval").select(F.col("cls").alias("t"), F.col("cls").alias("e"), F.size(F.split("w", " ")).alias("words"), F.lit(0).alias("dist"), F.lit(0).alias("seeds"))
-    return materialize(near.unionByName(same), "links"), members
+    links = materialize(near.unionByName(same), "links")
+    discard(near, classes)
+    return links, members
 
 
 def found_pairs(links: DataFrame, members: DataFrame) -> DataFrame:

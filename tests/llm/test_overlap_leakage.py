@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from kgflow import session
 from kgflow.llm import leakage, overlap
 from kgflow.llm.winnow import hashed_units, unit_characters, unit_ids, winnow
 
@@ -293,3 +294,24 @@ def test_a_shape_is_sure():
             for x, added, e in leakage.cases(n):
                 runs = -(-(x - e + added) // (e + 1))
                 assert runs >= k + window - 1 and need >= 1
+
+
+def test_joining_in_parts_gives_the_same_links_and_leaves_no_files(spark, monkeypatch, tmp_path):
+    import glob
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.randrange(90)}" for _ in range(rng.randrange(4, 60))]
+        rows += [(2 * i, " ".join(w), "train", "s"), (2 * i + 1, " ".join(x if rng.random() > 0.15 else "new" for x in w), "test", "s")]
+    df = spark.createDataFrame(rows, "id long, text string, split_name string, source string")
+    want = {(a, b, overlap.distance(x.split(), y.split(), max(len(x.split()), len(y.split())) // 5)) for a, x, p, _ in rows for b, y, q, _ in rows if p == "train" != q}
+    texts = {i: t.split() for i, t, _, _ in rows}
+    want = {(a, b) for a, b, d in want if d <= max(len(texts[a]), len(texts[b])) // 5}
+    for at_once in (overlap.AT_ONCE, 1):
+        monkeypatch.setattr(overlap, "AT_ONCE", at_once)
+        before = set(glob.glob(f"{session.shared_dir(spark).removeprefix('file:')}/*"))
+        got = overlap.split_overlaps(df)
+        assert {(r.id_a, r.id_b) for r in overlap.found_pairs(*got).collect()} == {(min(p), max(p)) for p in want}
+        left = set(glob.glob(f"{session.shared_dir(spark).removeprefix('file:')}/*")) - before
+        assert len(left) == 2  # links and members
