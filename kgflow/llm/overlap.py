@@ -20,8 +20,8 @@ from .winnow import gram_hashes, unit_ids
 K, SHORT_K, SHORT = 3, 2, 12
 #: Words of a block, inside which a record's grams are chosen together.
 BLOCK = 64
-#: Buckets in which grams of train are counted (1 MB), records sampled for it at most, and bits that tell which grams were chosen (4 MB; 16 MB for over MANY grams).
-SKETCH, SAMPLE, BITS, MANY = 1 << 18, 50_000, 1 << 25, 2_000_000
+#: Buckets in which grams of train are counted (1 MB), and bits that tell which grams were chosen (4 MB; 16 MB for over MANY grams).
+SKETCH, BITS, MANY = 1 << 18, 1 << 25, 2_000_000
 #: Grams of train up to which all are joined at once; more are joined in PASSES parts by their hashes, one after another, so that their files never lie on disk together.
 AT_ONCE, PASSES = 50_000_000, 4
 #: Records a gram has in one group of the join, about: those of a more frequent gram are spread over several.
@@ -139,22 +139,23 @@ def by_length(whole: pd.DataFrame) -> list[tuple[pd.DataFrame, int]]:
 
 
 def gram_counts(train: DataFrame) -> np.ndarray:
-    """For each bucket of grams, about how many of the records hold one of them (estimated from a sample of bounded size)."""
-    share = min(1.0, SAMPLE / max(1, train.count()))
+    """For each bucket of grams, how many there are in the records, all of which are counted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
         n = np.zeros(SKETCH, np.int64)
         for whole in batches:
-            for at in range(0, len(whole), PIECE):
-                for k in (K, SHORT_K):
-                    n += np.bincount(bucket(grams_of(whole.iloc[at : at + PIECE], k, seen)[2]), minlength=SKETCH)
+            for pdf, k in by_length(whole):
+                for at in range(0, len(pdf), PIECE):
+                    n += np.bincount(bucket(grams_of(pdf.iloc[at : at + PIECE], k, seen)[2]), minlength=SKETCH)
         b = np.flatnonzero(n)
         yield pd.DataFrame({"b": b.astype(np.int32), "n": n[b]})
 
-    got = spread(train.select("w").filter(F.pmod(F.xxhash64("w"), F.lit(1_000_000)) < int(1_000_000 * share))).mapInPandas(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    table = materialize(spread(train.select("w")).mapInPandas(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")), "counts")
+    got = table.toPandas()
+    discard(table)
     out = np.zeros(SKETCH, np.float32)
-    out[got["b"].to_numpy(dtype=int)] = got["n"].to_numpy(dtype=float) / share
+    out[got["b"].to_numpy(dtype=int)] = got["n"].to_numpy(dtype=float)
     return out
 
 

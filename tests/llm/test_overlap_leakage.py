@@ -296,6 +296,14 @@ def test_a_shape_is_sure():
                 assert runs >= k + window - 1 and need >= 1
 
 
+def test_train_is_counted_whole(spark):
+    """Every gram of every record counts, also past any sample's bound."""
+    n = 60_000
+    df = spark.range(n).selectExpr("concat_ws(' ', 'x', 'y', 'z', 'u', 'v', 'w', 'a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i', 'n') AS w")
+    counts = overlap.gram_counts(df)
+    assert counts.sum() == n * 14 and counts.max() == n
+
+
 def test_joining_in_parts_gives_the_same_links_and_leaves_no_files(spark, monkeypatch, tmp_path):
     import glob
 
