@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, spread
+from ..session import discard, materialize, spread
 
 #: Vectors a cell holds on average, pivots at most (1.5 MB of 96 floats), and sampled vectors a pivot that shape the cells (at most SAMPLE).
 CELL, MOST_PIVOTS, PER_PIVOT, SAMPLE = 200, 4_096, 12, 50_000
@@ -344,8 +344,9 @@ def neighbour_graph(rows: DataFrame, k: int, follow: float, rounds: int = 3, rev
         cells = graph.select(F.col("src").alias("id"), "own")
         after = materialize(merge(graph.unionByName(measured(new, rows, cells, k)), k, parts), "graph")
         flat = [g.select("src", F.explode("dst").alias("d")).filter("d >= 0") for g in (after, graph)]
-        changed = flat[0].join(flat[1], ["src", "d"], "left_anti").count()
-        total = flat[0].count()
+        differing = materialize(flat[0].join(flat[1], ["src", "d"], "left_anti").agg(F.count("*").alias("n")), "changed")
+        changed, total = differing.first().n, flat[0].count()
+        discard(graph, differing)
         graph = after
         if changed < settle * total:
             break

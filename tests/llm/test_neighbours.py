@@ -1,6 +1,9 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
+from kgflow import session
 from kgflow.llm import neighbours
 
 
@@ -129,3 +132,17 @@ def test_the_graph_does_not_depend_on_batches(spark, vectors, monkeypatch):
         graphs.append(sorted((r.src, tuple(r.dst)) for r in neighbours.neighbour_graph(rows, 6, 0.6, rounds=2).collect()))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert graphs[0] == graphs[1]
+
+
+def test_rounds_leave_one_graph_and_no_shuffle_files(spark, vectors, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 8)
+    monkeypatch.setattr(neighbours, "VISITS", 2)
+    shared = Path(session.shared_dir(spark).removeprefix("file:"))
+    rows = neighbours.valid(spark.createDataFrame(vectors, "id long, embedding array<float>"), "id", "embedding", 16)
+    before = set(shared.glob("kgflow-graph-*"))
+    graph = neighbours.neighbour_graph(rows, 6, 0.6, rounds=3, settle=0.0)
+    assert len(set(shared.glob("kgflow-graph-*")) - before) == 1 and graph.count() > 0
+    files = lambda: {p for d in spark.sparkContext._jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(spark.sparkContext._jsc.sc().conf()) for p in Path(d).glob("**/shuffle_*")}
+    kept = files()
+    session.materialize(rows.groupBy("id").count().repartition(3, "id"))
+    assert files() <= kept
