@@ -66,6 +66,8 @@ SUPERSEDED_TRIPLES = (
 
 #: Tokens of a (head, relation) up to which they are carried in a row, and pairs of a prediction and an entity that one task meets, about.
 CARRIED, PAIRS = 256, 1_000_000
+#: Mentions and triples of a list that is joined as one row, about, and injected rows that one task writes, about.
+IDS, FACTS, INJECTED = 1_008, 1_008, 5_000_000
 
 
 @dataclass
@@ -182,11 +184,32 @@ def agreed(df: DataFrame, first: str, second: str, how: str = "both") -> DataFra
 
 
 def inject(mentions: DataFrame, triples: DataFrame) -> DataFrame:
-    """id, head (as mentioned), relation_type, tail for mentions(id, entity) whose stripped lower-case form is a triple's head. A bag."""
+    """id, head (as mentioned), relation_type, tail for mentions(id, entity) whose stripped lower-case form is a triple's head. A bag.
+
+    The result grows as the square of a hot head, so mentions and triples of a head are joined as lists of about IDS and FACTS, and a pair of
+    lists is dealt to a task before it becomes rows. Those lie together, the mentions innermost and as many as whole bytes hold, so that a
+    written file repeats itself and takes a small part of the room.
+    """
+    spark = mentions.sparkSession
     key = lambda c: F.lower(T.strip(F.col(c)))
-    left = mentions.select("id", F.col("entity"), key("entity").alias("_k")).filter("_k IS NOT NULL")
-    right = triples.select(key("head").alias("_k"), "relation_type", "tail").filter("_k IS NOT NULL")
-    return left.join(right, "_k").select("id", F.col("entity").alias("head"), "relation_type", "tail")
+    right = materialize(triples.select(key("head").alias("_k"), "relation_type", "tail").filter("_k IS NOT NULL"), "triples")
+    left = mentions.select("id", F.col("entity"), key("entity").alias("_k"))
+    left = materialize(left.join(small(right.select("_k").distinct()), "_k", "left_semi"), "mentions")
+
+    def lists(df: DataFrame, row: list[str], most: int, name: str) -> DataFrame:
+        many = small(df.groupBy("_k").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("_k", F.ceil(F.col("_n") / most).alias("_parts")))
+        dealt = df.join(many, "_k", "left").withColumn(name, F.pmod(F.xxhash64(*row), F.coalesce("_parts", F.lit(1))))
+        return dealt.groupBy("_k", name).agg(F.array_sort(F.collect_list(F.struct(*row))).alias(f"{name}s"))
+
+    sizes = [df.groupBy("_k").agg(F.count("*").alias(n)) for df, n in ((left, "a"), (right, "b"))]
+    total = sizes[0].join(sizes[1], "_k").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // INJECTED)
+    met = lists(left, ["entity", "id"], IDS, "_mention").join(lists(right, ["relation_type", "tail"], FACTS, "_fact"), "_k")
+    met = met.repartition(tasks, "_k", "_mention", "_fact")
+    whole = F.size("_mentions") - F.size("_mentions") % 8
+    met = met.select(F.explode(F.array(F.slice("_mentions", F.lit(1), whole), F.slice("_mentions", whole + 1, F.lit(7)))).alias("_mentions"), "_facts")
+    met = met.select("_mentions", F.explode("_facts").alias("t")).select("t", F.explode("_mentions").alias("m"))
+    return met.select("m.id", F.col("m.entity").alias("head"), "t.relation_type", "t.tail")
 
 
 def inject_bridged(mentions: DataFrame, triples: DataFrame, bridge: DataFrame) -> DataFrame:

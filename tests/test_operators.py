@@ -232,3 +232,24 @@ def test_expansion_pairs_are_not_shuffled(spark):
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     main = plan[: plan.index("array_intersect")]
     assert "Exchange" not in main
+
+
+def test_injection_is_whole_in_lists_and_repeats_itself_in_a_file(spark, monkeypatch, tmp_path):
+    mentions = [(i, ("hot", " Hot ", "HOT")[i % 3 if i < 9 else 0]) for i in range(1_500)] + [(None, "hot"), (1, "hot"), (1, "hot"), (7, "cold"), (8, None), (9, "none")]
+    facts = [("hot", f"r{i % 3}", f"tail {i}") for i in range(200)] + [("hot", None, None), ("hot", "r0", "tail 0"), ("cold", "r", "t"), (None, "r", "t"), ("", "r", "t")]
+    want = sorted((str(i), e, str(r), str(t)) for i, e in mentions if e for h, r, t in facts if h == e.strip().lower())
+    m, f = spark.createDataFrame(mentions, "id long, entity string"), spark.createDataFrame(facts, "head string, relation_type string, tail string")
+    for ids, some, rows in ((1_008, 1_008, 5_000_000), (100, 7, 1_000), (1, 1, 10_000)):
+        monkeypatch.setattr(triples, "IDS", ids)
+        monkeypatch.setattr(triples, "FACTS", some)
+        monkeypatch.setattr(triples, "INJECTED", rows)
+        got = triples.inject(m if ids > 1 else m.filter("id < 20 OR id IS NULL"), f)
+        assert got.columns == ["id", "head", "relation_type", "tail"]
+        few = [w for w in want if ids > 1 or w[0] == "None" or int(w[0]) < 20]
+        assert sorted((str(r.id), r.head, str(r.relation_type), str(r.tail)) for r in got.collect()) == few
+    monkeypatch.undo()
+    m = spark.range(200_000).selectExpr("xxhash64(id) AS id", "if(id < 400, 'hot', concat('other ', id)) AS entity")
+    f = spark.range(5_001).selectExpr("'hot' AS head", "'r' AS relation_type", "concat('tail ', id) AS tail")
+    triples.inject(m, f).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 400 * 5_001
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * 400 * 5_001
