@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -20,6 +20,8 @@ VISITS, LARGE = 3, 20_000
 DIVIDERS = 131_072
 #: Graph rows that one task merges, about.
 TASK_ROWS = 100_000
+#: Bits a vector, and at most (1,048,576 rows to broadcast), of the bitmaps that tell which vectors a round of the descent concerns.
+BITS, MOST_BITS = 8, 1 << 26
 #: Similarities are kept as whole millionths.
 UNIT = 1_000_000
 
@@ -97,10 +99,11 @@ def best(src: np.ndarray, dst: np.ndarray, sim: np.ndarray, cell: np.ndarray, k:
 
 
 _GRAPH = "src long, own array<int>, dst array<long>, sim array<int>, cells array<int>"
+_COLUMNS = ["src", "own", "dst", "sim", "cells"]
 
 
 def _graph_batch(src: np.ndarray, own: np.ndarray, d: np.ndarray, s: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(src), lists(own), lists(d), lists(s), lists(c)], names=["src", "own", "dst", "sim", "cells"])
+    return pa.RecordBatch.from_arrays([pa.array(src), lists(own), lists(d), lists(s), lists(c)], names=_COLUMNS)
 
 
 def first_graph(rows: DataFrame, pivots: np.ndarray, count: int, k: int, visits: int) -> DataFrame:
@@ -234,7 +237,8 @@ def parts_for(spark: SparkSession, rows: int) -> int:
 
 
 def merge(rows: DataFrame, k: int, parts: int) -> DataFrame:
-    """One row per src from several: its k best."""
+    """One row per src from several: its k best. Where rows are marked as `old` or not, also how many neighbours are new (gained), and which came or went (moved)."""
+    marked = "old" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -251,13 +255,44 @@ def merge(rows: DataFrame, k: int, parts: int) -> DataFrame:
         out = [np.concatenate([out[0], alone]), *[np.concatenate([a, b]) for a, b in zip(out[1:], none)]]
         known = own[:, 0] >= 0
         ids, at = np.unique(src[known], return_index=True)
-        yield _graph_batch(out[0], own[known][at][np.minimum(np.searchsorted(ids, out[0]), len(ids) - 1)], *out[1:])
+        batch = _graph_batch(out[0], own[known][at][np.minimum(np.searchsorted(ids, out[0]), len(ids) - 1)], *out[1:])
+        if not marked:
+            yield batch
+            return
+        before, now = keep & np.repeat(t["old"].to_numpy(), width), (out[1] >= 0).ravel()
+        edges = np.concatenate([np.stack([np.repeat(out[0], k), out[1].ravel(), out[2].ravel()], 1)[now], np.stack([all_src, d.ravel(), s.ravel()], 1)[before]])
+        _, at, times = np.unique(edges, axis=0, return_inverse=True, return_counts=True)
+        once = times[at.ravel()] == 1
+        order = np.argsort(out[0], kind="stable")
+        row = order[np.searchsorted(out[0][order], edges[:, 0])]
+        gained = np.bincount(row[: now.sum()][once[: now.sum()]], minlength=len(out[0]))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[once], minlength=len(out[0])))])
+        moved = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(edges[once, 1][np.argsort(row[once], kind="stable")]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(gained.astype(np.int32)), moved], names=[*_COLUMNS, "gained", "moved"])
+
+    return rows.repartition(parts, "src").mapInArrow(run, _GRAPH + (", gained int, moved array<long>" if marked else ""))
+
+
+def among(ids: DataFrame, count: int) -> Callable[..., DataFrame]:
+    """A filter (table, column, whether): the rows whose id may be among `ids`, as a bitmap of bounded size tells, or those whose id surely isn't."""
+    size = min(MOST_BITS, 1 << max(6, (BITS * count).bit_length()))
+    word, bit = f"shiftright(xxhash64(%s) & {size - 1}L, 6)", "shiftleft(1L, int(xxhash64(%s) & 63L))"
+    words = ids.groupBy(F.expr(word % "id").alias("_b")).agg(F.bit_or(F.expr(bit % "id")).alias("_m"))
+    words = materialize(words, "bits")
 
-    return rows.repartition(parts, "src").mapInArrow(run, _GRAPH)
+    def some(df: DataFrame, column: str, held: bool = True) -> DataFrame:
+        known = F.coalesce(F.col("_m").bitwiseAND(F.expr(bit % column)) != 0, F.lit(False))
+        return df.withColumn("_b", F.expr(word % column)).join(F.broadcast(words), "_b", "left").filter(known if held else ~known).select(*df.columns)
 
+    some.words = words  # to be discarded
+    return some
 
-def candidates(graph: DataFrame, follow: int, reverse: int, parts: int) -> DataFrame:
-    """a < b: pairs of neighbours of one vector that share no cell, so haven't been compared. Only edges of at least `follow` are walked."""
+
+def candidates(graph: DataFrame, follow: int, reverse: int, parts: int, moved: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """a < b: pairs of neighbours of one vector that share no cell, so haven't been compared. Only edges of at least `follow` are walked.
+
+    With `moved` only vectors among these count: what another one's neighbours are, and whose neighbour it is, hasn't changed since all its pairs were given.
+    """
 
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,7 +332,8 @@ def candidates(graph: DataFrame, follow: int, reverse: int, parts: int) -> DataF
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     width = graph.select(F.size("dst").alias("n")).first().n
-    sent = graph.mapInArrow(messages, "mid long, nbr long, sim int, cells array<int>")
+    sent = graph.select(*_COLUMNS).mapInArrow(messages, "mid long, nbr long, sim int, cells array<int>")
+    sent = sent if moved is None else moved(sent, "mid")
     return sent.repartition(parts, "mid").mapInArrow(pairs, "a long, b long").distinct()
 
 
@@ -334,22 +370,26 @@ def neighbour_graph(rows: DataFrame, k: int, follow: float, rounds: int = 3, rev
         return empty
     parts = parts_for(rows.sparkSession, count * (visits or VISITS))
     graph = materialize(merge(first_graph(rows, pivots, count, k, visits or VISITS), k, parts), "graph")
-    tried = None
+    tried = moved = None
     for _ in range(rounds):
-        new = candidates(graph, int(follow * UNIT), reverse, parts)
+        new = candidates(graph, int(follow * UNIT), reverse, parts, moved)
         new = materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             break
         tried = new if tried is None else tried.unionByName(new)
+        # only vectors of new pairs are joined, only their rows of the graph merged; the others stay as they are
+        ends = among(new.select(F.explode(F.array("a", "b")).alias("id")), count)
         cells = graph.select(F.col("src").alias("id"), "own")
-        after = materialize(merge(graph.unionByName(measured(new, rows, cells, k)), k, parts), "graph")
-        flat = [g.select("src", F.explode("dst").alias("d")).filter("d >= 0") for g in (after, graph)]
-        differing = materialize(flat[0].join(flat[1], ["src", "d"], "left_anti").agg(F.count("*").alias("n")), "changed")
-        changed, total = differing.first().n, flat[0].count()
-        discard(graph, differing)
+        found = measured(new, ends(rows, "id"), ends(cells, "id"), k).withColumn("old", F.lit(False))
+        after = merge(ends(graph.select(*_COLUMNS), "src").withColumn("old", F.lit(True)).unionByName(found), k, parts)
+        rest = ends(graph.select(*_COLUMNS), "src", False).withColumn("gained", F.lit(0)).withColumn("moved", F.array().cast("array<long>"))
+        after = materialize(after.unionByName(rest), "graph")
+        discard(graph, ends.words, *([moved.words] if moved else []))
         graph = after
+        changed, total = graph.agg(F.coalesce(F.sum("gained"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("dst", lambda x: x >= 0))), F.lit(0))).first()
         if changed < settle * total:
             break
+        moved = among(graph.filter("size(moved) > 0").select(F.explode(F.concat("moved", F.array("src"))).alias("id")), count)
     return graph
 
 

@@ -146,3 +146,23 @@ def test_rounds_leave_one_graph_and_no_shuffle_files(spark, vectors, monkeypatch
     kept = files()
     session.materialize(rows.groupBy("id").count().repartition(3, "id"))
     assert files() <= kept
+
+
+def test_later_rounds_take_up_only_what_moved(spark, vectors, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 8)
+    monkeypatch.setattr(neighbours, "VISITS", 2)
+    rows = neighbours.valid(spark.createDataFrame(vectors, "id long, embedding array<float>"), "id", "embedding", 16)
+    met, plain, all_of = [], neighbours.measured, neighbours.candidates
+
+    def measured(pairs, some, cells, k):
+        met.append((some.count(), cells.count()))
+        return plain(pairs, some, cells, k)
+
+    def edges():
+        return sorted((r.src, tuple(r.dst), tuple(r.sim)) for r in neighbours.neighbour_graph(rows, 6, 0.6, rounds=5, settle=0.0).collect())
+
+    monkeypatch.setattr(neighbours, "measured", measured)
+    got = edges()
+    assert len(met) > 2 and max(met[-1]) < 0.5 * len(vectors), met
+    monkeypatch.setattr(neighbours, "candidates", lambda graph, follow, reverse, parts, *_: all_of(graph, follow, reverse, parts))
+    assert edges() == got
